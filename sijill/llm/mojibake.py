@@ -88,25 +88,16 @@ def _classes() -> tuple[np.ndarray, np.ndarray]:
     return odd, alone
 
 
-def _gate() -> str:
-    """Java pattern of values that may be garbled: two odd neighbours, a control, a lost character, or bytes of UTF-8 read as cp1256 or cp1251."""
-    odd, _ = _classes()
-    cps = [int(c) for c in np.flatnonzero(odd) if c not in (0xA0, 0xAD, 0xFFFD)]
-    spans: list[list[int]] = []
-    for c in cps:
-        if spans and c == spans[-1][1] + 1:
-            spans[-1][1] = c
-        else:
-            spans.append([c, c])
-    chars = "".join(f"\\u{a:04X}" if a == b else f"\\u{a:04X}-\\u{b:04X}" for a, b in spans)
-    cont = [int(c) for c in np.flatnonzero((_bytes_of("cp1256") >= 0x80) & (_bytes_of("cp1256") < 0xC0)) if c not in (0xA0, 0xAD)]
-    after = "".join(f"\\u{c:04X}" for c in cont)
-    return rf"[{chars}][{chars} ­?]|[\u0080-\u009F�]|[طظ][{after}]|[РСШЩ][Ђ-Џђ-џ -»]"
+#: A character that plain Arabic or ASCII text doesn't have; one cheap scan settles most values.
+UNUSUAL = r"[^\x{9}-\x{D}\x{20}-\x{7E}\x{60C}-\x{652}\x{660}-\x{669}]"
+_ODD = r"\x{80}-\x{9F}\x{A1}-\x{AC}\x{AE}-\x{17E}\x{192}\x{2C6}-\x{2DD}\x{3A3}-\x{3C6}\x{2010}-\x{203A}\x{207F}\x{20A7}\x{20AC}\x{2116}-\x{2126}\x{2202}-\x{25CA}\x{F8FF}-\x{FB02}"
+#: Two odd neighbours, a control, a lost character, or bytes of UTF-8 read as cp1256 or cp1251.
+SUSPICIOUS = rf"[{_ODD}][{_ODD} \x{{A0}}\x{{AD}}?]|[\x{{80}}-\x{{9F}}\x{{FFFD}}]|[طظ][\x{{A1}}-\x{{BF}}\x{{152}}-\x{{192}}\x{{2C6}}\x{{60C}}-\x{{61F}}\x{{679}}-\x{{6BE}}\x{{200C}}-\x{{2122}}]|[РСШЩ][\x{{402}}-\x{{45F}}\x{{A0}}-\x{{BB}}\x{{2013}}-\x{{203A}}]"
 
 
 def suspicious(col: Column) -> Column:
-    """Whether a value needs the model at all; decided in the JVM."""
-    return col.rlike(_gate())
+    """Whether a value needs the model at all; decided in the JVM, by two patterns of growing cost."""
+    return col.rlike(UNUSUAL) & col.rlike(SUSPICIOUS)
 
 
 def _members(cp: np.ndarray, read: str) -> tuple[np.ndarray, np.ndarray]:
