@@ -1,12 +1,16 @@
 """Queries of the operators for language-model training data."""
 
-from sijill.llm import lookalikes, mojibake
+from sijill.llm import leakage, lookalikes, mojibake, splitting
 
 QUERIES = {
     "p2_found": lookalikes.p2_found,
     "p2_classes": lookalikes.p2_classes,
     "p5_found": mojibake.p5_found,
     "p5_restored": mojibake.p5_restored,
+    "p7_found": splitting.p7_found,
+    "p7_pieces": splitting.p7_pieces,
+    "p9_found": leakage.p9_found,
+    "p9_cleaned": leakage.p9_cleaned,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"p7_found": splitting.P7_SQL}
