@@ -8,6 +8,7 @@ pattern first, into representatives; texts that read alike come out equal.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from functools import lru_cache
@@ -153,11 +154,12 @@ class Rewriter:
         """Java pattern of texts that the automaton may change; all others are their own form.
 
         It names the characters that are certainly kept, a few ranges, so that one scan
-        of a clean text settles it: ASCII and Arabic letters, marks and digits without
-        the rare members among them.
+        of a clean text settles it: ASCII, Latin and Arabic letters, marks and
+        digits without the rare members among them.
         """
         rare = {ord(ch) for ch in self.rare}
-        keep = [c for c in (0x9, 0xA, *range(0x20, 0x7F), 0x60C, 0x61B, 0x61F, *range(0x621, 0x653), *range(0x660, 0x66A)) if c not in rare]
+        letters = (*range(0xC0, 0x180), 0x60C, 0x61B, 0x61F, *range(0x621, 0x651), 0x652, *range(0x660, 0x66A))  # shadda may stand on either side of a vowel
+        keep = [c for c in (0x9, 0xA, *range(0x20, 0x7F), *letters) if c not in rare]
         spans: list[list[int]] = []
         for c in keep:
             if spans and c == spans[-1][1] + 1:
@@ -165,7 +167,7 @@ class Rewriter:
             else:
                 spans.append([c, c])
         chars = "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in spans)
-        return rf"[^{chars}]|[\x{{64B}}-\x{{652}}]{{2}}"
+        return rf"[^{chars}]"
 
 
 def class_counts(rows: DataFrame, field: str) -> dict[str, int]:
@@ -199,24 +201,28 @@ def reading_forms(df: DataFrame, key: str, field: str, counts: dict[str, int] |
     three narrow columns are written once and read by every step that follows.
     """
     rewriter = Rewriter(class_counts(df, field) if counts is None else counts)
-    gate = rewriter.gate()
+    shown = F.replace(F.col("v"), F.lit("\r"), F.lit(""))
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(field).alias("v")).where(F.col("v").isNotNull())
-    plain = rows.where(~F.col("v").rlike(gate)).select("key", F.md5(F.col("v").cast("binary")).alias("stored"), F.md5(F.col("v").cast("binary")).alias("form"))
+    # one scan of each text; only those with rare members are sent on
+    once = rows.select(
+        "key",
+        F.md5(F.col("v").cast("binary")).alias("stored"),
+        F.when(F.contains(F.col("v"), F.lit("\r")), F.md5(shown.cast("binary"))).alias("shown"),
+        F.when(shown.rlike(rewriter.gate()), shown).alias("dirty"),
+    )
 
     def rewrite(batches):
         doubtful = re.compile(re.sub(r"\\x\{(\w+)\}", lambda m: f"\\U{int(m[1], 16):08x}", SUSPICIOUS))
         for batch in batches:
-            values = batch.column(1).to_pylist()
-            garbled = [g for g, _ in restore_all([v if doubtful.search(v) else "" for v in values])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([None if g else rewriter(v) for v, g in zip(values, garbled)], pa.string())], ["key", "v", "form"])
-
-    changed = (
-        rows.where(F.col("v").rlike(gate))
-        .mapInArrow(rewrite, "key long, v string, form string")
-        .where(F.col("form").isNotNull())
-        .select("key", F.md5(F.col("v").cast("binary")).alias("stored"), F.md5(F.col("form").cast("binary")).alias("form"))
-    )
-    return materialize(plain.unionByName(changed), "reading-forms")
+            keys, stored, plain, dirty = (batch.column(i).to_pylist() for i in range(4))
+            at = [i for i, v in enumerate(dirty) if v is not None]
+            forms = [s if p is None else p for s, p in zip(stored, plain)]
+            for i, (garbled, _) in zip(at, restore_all([dirty[i] if doubtful.search(dirty[i]) else "" for i in at])):
+                forms[i] = None if garbled else hashlib.md5(rewriter(dirty[i]).encode("utf-8", "surrogatepass")).hexdigest()
+            keep = [i for i, f in enumerate(forms) if f is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in keep], pa.int64()), pa.array([stored[i] for i in keep], pa.string()), pa.array([forms[i] for i in keep], pa.string())], ["key", "stored", "form"])
+
+    return materialize(once.mapInArrow(rewrite, "key long, stored string, form string"), "reading-forms")
 
 
 def look_alike_variants(forms: DataFrame) -> DataFrame:
