@@ -1,10 +1,11 @@
 """Queries of the operators for language-model training data."""
 
-from sijill.llm import leakage, lookalikes, mojibake, packing, splitting, toxicity
+from sijill.llm import leakage, lookalikes, mojibake, names, packing, splitting, toxicity
 
 QUERIES = {
     "p2_found": lookalikes.p2_found,
     "p2_classes": lookalikes.p2_classes,
+    "p4_found": names.p4_found,
     "p5_found": mojibake.p5_found,
     "p5_restored": mojibake.p5_restored,
     "p7_found": splitting.p7_found,
