@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sijill.session import table
+
 # Which child table an element belongs to, by the key it stands under.
 CHILD_TABLE = {
     "sections": "section",
@@ -182,20 +184,20 @@ def variant_table(rows: DataFrame) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    records = spark.read.parquet(f"{folder}/loaded_legal_json.parquet")
+    records = table(spark, folder, "loaded_legal_json")
     return nested_rows(records, "record_id", "payload", bodies=False).select("record_id", "child_table", "path", "parent_path")
 
 
 def p3_variants(spark: SparkSession, folder: str) -> DataFrame:
-    records = spark.read.parquet(f"{folder}/loaded_legal_json.parquet")
+    records = table(spark, folder, "loaded_legal_json")
     return variant_table(nested_rows(records, "record_id", "payload"))
 
 
 def p3_sections(spark: SparkSession, folder: str) -> DataFrame:
-    records = spark.read.parquet(f"{folder}/loaded_legal_json.parquet")
+    records = table(spark, folder, "loaded_legal_json")
     return subtype_table(nested_rows(records, "record_id", "payload"), "section")
 
 
 def p3_entities(spark: SparkSession, folder: str) -> DataFrame:
-    records = spark.read.parquet(f"{folder}/loaded_legal_json.parquet")
+    records = table(spark, folder, "loaded_legal_json")
     return subtype_table(nested_rows(records, "record_id", "payload"), "entity")

@@ -122,9 +122,9 @@ def count_mismatches(heads: DataFrame, head_key: str, stated: str, entries: Data
     Distinct (head, key) pairs combine before the shuffle and are spread by pair, so a
     head with a third of all entries costs no task more than others.
     """
-    pairs = entries.select(F.col(entry_head).alias("_h"), counted.alias("_k")).where("_h IS NOT NULL AND _k IS NOT NULL").distinct()
-    counts = pairs.groupBy("_h").agg(F.count(F.lit(1)).alias("_n"))
-    return heads.where(F.col(stated).isNotNull()).join(counts, F.col(head_key) == F.col("_h"), "left").where(F.col(stated) != F.coalesce("_n", F.lit(0))).drop("_h", "_n")
+    pairs = entries.select(F.col(entry_head).alias("__head"), counted.alias("__key")).where("__head IS NOT NULL AND __key IS NOT NULL").distinct()
+    counts = pairs.groupBy("__head").agg(F.count(F.lit(1)).alias("__count"))
+    return heads.where(F.col(stated).isNotNull()).join(counts, F.col(head_key) == F.col("__head"), "left").where(F.col(stated) != F.coalesce("__count", F.lit(0))).drop("__head", "__count")
 
 
 def month(at: Column) -> Column:

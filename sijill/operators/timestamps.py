@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sijill.session import scratch_path
+from sijill.session import scratch_path, table
 
 DEFAULT_ZONE = "Asia/Baghdad"
 
@@ -218,6 +218,6 @@ def normalise_timestamps(df: DataFrame, key: str, fields: list[str], zone: str,
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    rows = spark.read.parquet(f"{folder}/search_records.parquet")
+    rows = table(spark, folder, "search_records")
     dictionary = TimestampDictionary(spark, scratch_path(spark, "timestamps"))
     return normalise_timestamps(rows, "search_id", ["issue_date", "session_date"], "source_zone", dictionary)
