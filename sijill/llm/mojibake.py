@@ -64,8 +64,8 @@ def _chars_of(encoding: str) -> list[str]:
 
 
 @lru_cache(maxsize=None)
-def _classes() -> tuple[np.ndarray, np.ndarray]:
-    """Per code point: 1 where garbling leaves such characters; its cost standing alone in clean text."""
+def _classes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per code point: whether garbling leaves such characters; whether beside another they speak for it; the cost of one alone in clean text."""
     odd, alone = np.zeros(65536, bool), np.zeros(65536, np.float32)
     for _, read in PAIRS:
         if read not in ("cp1256", "cp1251"):
@@ -80,12 +80,14 @@ def _classes() -> tuple[np.ndarray, np.ndarray]:
     odd[[0xA0, 0xAD]] = False  # blanks and soft hyphens stand beside anything
     alone[odd] = -3.0
     alone[0xC0:0x180] = ALONE
+    strong = odd.copy()
     for cp in (*range(0x2010, 0x2015), *range(0x2018, 0x201E), 0x2022, 0x2026, 0xA0, 0xAB, 0xBB, 0xAD, 0xB7, 0xB0, 0x3BC, 0x3C0, 0x3A9):
         alone[cp] = 0.0
+        strong[cp] = False  # ordinary marks, also beside each other
     alone[0x80:0xA0] = CONTROL
     alone[0xFFFD] = LOST
-    odd[0xFFFD] = True
-    return odd, alone
+    odd[0xFFFD] = strong[0xFFFD] = True
+    return odd, strong, alone
 
 
 #: A character that plain Arabic or ASCII text doesn't have; one cheap scan settles most values.
@@ -106,7 +108,9 @@ def _members(cp: np.ndarray, read: str) -> tuple[np.ndarray, np.ndarray]:
     cont = (b >= 0x80) & (b < 0xC0)
     c1, c2, c3 = (np.zeros_like(cont) for _ in range(3))
     c1[:, :-1], c2[:, :-2], c3[:, :-3] = cont[:, 1:], cont[:, 2:], cont[:, 3:]
-    two, three, four = (b >= 0xC2) & (b < 0xE0) & c1, (b >= 0xE0) & (b < 0xF0) & c1 & c2, (b >= 0xF0) & (b < 0xF5) & c1 & c2 & c3
+    # leads of the scripts written here: Latin, modifiers, Greek, Cyrillic, Arabic; punctuation, presentation forms, emoji
+    scripts = np.isin(b, (*range(0xC2, 0xC7), 0xCB, *range(0xCE, 0xD2), *range(0xD8, 0xDC)))
+    two, three, four = scripts & c1, ((b == 0xE2) | (b == 0xEF)) & c1 & c2, (b == 0xF0) & c1 & c2 & c3
     lead = two | three | four
     out = lead.copy()
     out[:, 1:] |= lead[:, :-1]
@@ -117,13 +121,13 @@ def _members(cp: np.ndarray, read: str) -> tuple[np.ndarray, np.ndarray]:
 
 def _scores(cp: np.ndarray) -> np.ndarray:
     """Emission log-scores [state, row, position]."""
-    odd, alone = _classes()
+    odd, strong, alone = _classes()
     rows, length = cp.shape
     plain = cp < 128
-    is_odd = odd[cp]
+    is_odd, is_strong = odd[cp], strong[cp]
     beside = np.zeros_like(is_odd)
-    beside[:, 1:] |= is_odd[:, :-1]
-    beside[:, :-1] |= is_odd[:, 1:]
+    beside[:, 1:] |= is_strong[:, :-1]
+    beside[:, :-1] |= is_strong[:, 1:]
     out = np.empty((len(PAIRS) + 1, rows, length), np.float32)
     clean = alone[cp]
     clean[is_odd & beside] = np.minimum(clean[is_odd & beside], PACKED)
