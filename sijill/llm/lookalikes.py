@@ -226,22 +226,33 @@ def reading_forms(df: DataFrame, key: str, field: str, counts: dict[str, int] |
 
 
 def look_alike_variants(forms: DataFrame) -> DataFrame:
-    """(form, stored) of the classes that hold more than one stored text; exact copies count once."""
-    variants = forms.groupBy("form", "stored").agg(F.count(F.lit(1)).alias("n_rows"))
+    """(form, stored, n_rows, first) of the classes that hold more than one stored text; exact copies count once, `first` is the lowest key among them."""
+    variants = forms.groupBy("form", "stored").agg(F.count(F.lit(1)).alias("n_rows"), F.min("key").alias("first"))
     several = variants.groupBy("form").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return variants.join(several.select("form"), "form", "left_semi")
 
 
-def look_alike_pairs(forms: DataFrame) -> DataFrame:
+#: Two stored texts with more pairs of rows than this are linked through their first rows instead.
+PAIRS_LISTED = 1_000_000
+
+
+def look_alike_pairs(forms: DataFrame, listed: int = PAIRS_LISTED) -> DataFrame:
     """(key_a, key_b) of rows whose texts read alike but are stored differently.
 
-    Rows whose class holds one stored text, exact copies of each other among them, are
-    dropped before any pairing, and pairs are formed only between different texts.
+    Different stored texts of a class are paired first, their rows after that, so exact
+    copies of one another are never paired. Where two texts have more than `listed` pairs
+    of rows, each row is paired with the other text's first row only: every row and every
+    link between texts stays, and the output grows as the rows do.
     """
-    several = look_alike_variants(forms).select("form").distinct()
-    rows = forms.join(several, "form", "left_semi")
-    pairs = rows.alias("a").join(rows.alias("b"), F.expr("a.form = b.form AND a.stored <> b.stored AND a.key < b.key"))
-    return pairs.select(F.col("a.key").alias("key_a"), F.col("b.key").alias("key_b"))
+    variants = look_alike_variants(forms)
+    rows = forms.join(variants.select("form", "stored"), ["form", "stored"], "left_semi")
+    texts = variants.alias("a").join(variants.alias("b"), F.expr("a.form = b.form AND a.stored < b.stored"))
+    texts = texts.select("a.form", F.col("a.stored").alias("stored_a"), F.col("b.stored").alias("stored_b"), F.col("a.first").alias("first_a"), F.col("b.first").alias("first_b"), (F.col("a.n_rows") * F.col("b.n_rows") > listed).alias("many"))
+    of_a, of_b = rows.select("form", F.col("stored").alias("stored_a"), F.col("key").alias("key_1")), rows.select("form", F.col("stored").alias("stored_b"), F.col("key").alias("key_2"))
+    few = texts.where("NOT many").join(of_a, ["form", "stored_a"]).join(of_b, ["form", "stored_b"]).select("key_1", "key_2")
+    left = texts.where("many").join(of_a, ["form", "stored_a"]).select("key_1", F.col("first_b").alias("key_2"))
+    right = texts.where("many").join(of_b, ["form", "stored_b"]).where("key_2 <> first_b").select(F.col("first_a").alias("key_1"), "key_2")
+    return few.unionByName(left).unionByName(right).select(F.least("key_1", "key_2").alias("key_a"), F.greatest("key_1", "key_2").alias("key_b"))
 
 
 _FIELDS = [("search_records", "search_id", "title"), ("search_records", "search_id", "decision_number"), ("chunks", "row_id", "text")]

@@ -75,6 +75,12 @@ def test_pairs_copies_nulls_and_garbled(spark):
     assert L.look_alike_pairs(L.reading_forms(df.limit(0), "id", "t")).count() == 0
 
 
+def test_many_copies_are_linked_through_first_rows(spark):
+    df = spark.createDataFrame([(i, "A 1") for i in range(1, 6)] + [(i, "А 1") for i in range(6, 9)], "id long, t string")
+    got = sorted(map(tuple, L.look_alike_pairs(L.reading_forms(df, "id", "t"), 10).collect()))
+    assert got == [(1, 6), (1, 7), (1, 8), (2, 6), (3, 6), (4, 6), (5, 6)]
+
+
 def test_p2_against_brute_force(spark, small):
     rows = spark.read.parquet(f"{small}/search_records.parquet").select("search_id", "title").where("title is not null").collect()
     counts = L.class_counts(spark.read.parquet(f"{small}/search_records.parquet"), "title")
