@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sijill.functions import arabic as A
+from sijill.functions.extract import bounded
 
 K1, B = 1.5, 0.75
 #: Queries held by a worker at once; more are scored block after block.
@@ -17,7 +18,7 @@ BLOCK = 4_096
 SALTS = 8
 # Phrases that name something, and words whose neighbourhood does.
 SIGNAL_PATTERNS = [
-    r"[0-9]{1,2}\s*/\s*[0-9]{1,2}\s*/\s*[0-9]{4}", r"[0-9]+\s*/\s*[0-9]+(?:\s*/\s*[0-9]+)?", r"(?:19|20)[0-9]{2}", r"[0-9]+",
+    *map(bounded, [r"[0-9]{1,2}\s*/\s*[0-9]{1,2}\s*/\s*[0-9]{4}", r"[0-9]{1,5}\s*/\s*[0-9]{1,5}(?:\s*/\s*[0-9]{2,4})?", r"(?:19|20)[0-9]{2}", r"[0-9]{1,6}(?:\.[0-9]{3})*(?:\.[0-9]+)?"]),
     r"(?:وزارة|وزاره)\s+[\x{0600}-\x{06ff} ]{2,40}", r"شركة\s+[\x{0600}-\x{06ff}0-9 ]{2,50}", r"(?:السيد|الدكتور|د\.|الاستاذ)\s+[\x{0600}-\x{06ff} ]{2,40}",
     r"(?:منتوج|مادة|ماده)\s+[\x{0600}-\x{06ff} ]{2,40}", r"زيت\s+[\x{0600}-\x{06ff} ]{2,25}", r"مجلس\s+الوزراء(?:\s+العراقي)?",
 ]
