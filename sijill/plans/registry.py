@@ -128,7 +128,8 @@ def review_status_upsert(spark, folder):
 def source_text_precedence(spark, folder):
     """Each record's text from the first field of its payload that has any."""
     fields = ["long_text", "body", "full_text", "original_long_text", "original_text", "content", "text"]
-    picked = R.first_text(F.col("long_text"), *[F.get_json_object("payload", f"$.{f}") for f in fields])
+    whole = F.when(F.try_parse_json("payload").isNotNull(), F.col("payload"))
+    picked = R.first_text(F.col("long_text"), *[F.get_json_object(whole, f"$.{f}") for f in fields])
     return table(spark, folder, "loaded_legal_json").select("record_id", F.length(picked).cast("long").alias("n_chars"), F.md5(picked.cast("binary")).alias("digest"))
 
 
@@ -170,6 +171,9 @@ SQL = {
     "keyword_filter": "SELECT search_id, document_type FROM search_records WHERE len(list_filter(entities, lambda e: contains(lower(e), 'وزارة'))) > 0",
     "audit_page": "SELECT row_id, source_file FROM (SELECT row_id, source_file FROM chunks ORDER BY indexed_at DESC NULLS LAST, row_id DESC LIMIT 50 OFFSET 50)",
     "review_status_upsert": "SELECT chunk_id, CASE WHEN bool_or(coalesce(is_deleted, false)) THEN 'rejected' ELSE 'pending' END AS status FROM chunks WHERE chunk_id IS NOT NULL GROUP BY chunk_id",
+    "source_text_precedence": "WITH p AS (SELECT record_id, long_text, CASE WHEN json_valid(payload) THEN payload END AS j FROM loaded_legal_json), t AS (SELECT record_id, coalesce(nullif(trim(long_text), ''), "
+    + ", ".join(f"nullif(trim(json_extract_string(j, '$.{f}')), '')" for f in ("long_text", "body", "full_text", "original_long_text", "original_text", "content", "text"))
+    + ", '') AS t FROM p) SELECT record_id, length(t) AS n_chars, md5(t) AS digest FROM t",
     "merge_layers": "WITH m AS (SELECT document_id, arg_max(title, search_id) AS title FROM search_records WHERE document_id IS NOT NULL GROUP BY 1), tid AS (SELECT document_id, max(record_id) AS record_id FROM loaded_legal_json WHERE document_id IS NOT NULL GROUP BY 1), "
     "ms AS (SELECT s.document_id, s.title FROM search_records s JOIN (SELECT document_id, max(search_id) AS search_id FROM search_records WHERE document_id IS NOT NULL GROUP BY 1) USING (search_id)), t AS (SELECT l.document_id, l.source_file, l.long_text FROM loaded_legal_json l JOIN tid USING (record_id)) "
     "SELECT coalesce(ms.document_id, t.document_id) AS document_id, CASE WHEN ms.document_id IS NOT NULL THEN ms.title ELSE t.source_file END AS title, "
