@@ -166,6 +166,8 @@ class Rewriter:
                 spans[-1][1] = c
             else:
                 spans.append([c, c])
+        # ranges are tried in order: what these texts are mostly made of comes first
+        spans.sort(key=lambda x: (not 0x600 <= x[0] < 0x700, x[0] - x[1]))
         chars = "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in spans)
         return rf"[^{chars}]"
 
@@ -225,50 +227,51 @@ def reading_forms(df: DataFrame, key: str, field: str, counts: dict[str, int] |
     return materialize(once.mapInArrow(rewrite, "key long, stored string, form string"), "reading-forms")
 
 
-def look_alike_variants(forms: DataFrame) -> DataFrame:
-    """(form, stored, n_rows, first) of the classes that hold more than one stored text; exact copies count once, `first` is the lowest key among them."""
-    variants = forms.groupBy("form", "stored").agg(F.count(F.lit(1)).alias("n_rows"), F.min("key").alias("first"))
-    several = variants.groupBy("form").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return variants.join(several.select("form"), "form", "left_semi")
+def look_alike_rows(forms: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """The rows of classes that hold more than one stored text. One combining aggregate finds them; classes of one text, exact copies among them, end here."""
+    keys = [*by, "form"]
+    mixed = forms.groupBy(*keys).agg(F.min("stored").alias("least"), F.max("stored").alias("most")).where("least <> most").select(*keys)
+    return forms.join(mixed, keys, "left_semi")
 
 
 #: Two stored texts with more pairs of rows than this are linked through their first rows instead.
 PAIRS_LISTED = 1_000_000
 
 
-def look_alike_pairs(forms: DataFrame, listed: int = PAIRS_LISTED) -> DataFrame:
-    """(key_a, key_b) of rows whose texts read alike but are stored differently.
+def look_alike_pairs(forms: DataFrame, listed: int = PAIRS_LISTED, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, key_a, key_b) of rows whose texts read alike but are stored differently.
 
     Different stored texts of a class are paired first, their rows after that, so exact
     copies of one another are never paired. Where two texts have more than `listed` pairs
     of rows, each row is paired with the other text's first row only: every row and every
-    link between texts stays, and the output grows as the rows do.
+    link between texts stays, and the output grows as the rows do. Classes are compared
+    within equal values of the columns `by`.
     """
-    variants = look_alike_variants(forms)
-    rows = forms.join(variants.select("form", "stored"), ["form", "stored"], "left_semi")
-    texts = variants.alias("a").join(variants.alias("b"), F.expr("a.form = b.form AND a.stored < b.stored"))
-    texts = texts.select("a.form", F.col("a.stored").alias("stored_a"), F.col("b.stored").alias("stored_b"), F.col("a.first").alias("first_a"), F.col("b.first").alias("first_b"), (F.col("a.n_rows") * F.col("b.n_rows") > listed).alias("many"))
-    of_a, of_b = rows.select("form", F.col("stored").alias("stored_a"), F.col("key").alias("key_1")), rows.select("form", F.col("stored").alias("stored_b"), F.col("key").alias("key_2"))
-    few = texts.where("NOT many").join(of_a, ["form", "stored_a"]).join(of_b, ["form", "stored_b"]).select("key_1", "key_2")
-    left = texts.where("many").join(of_a, ["form", "stored_a"]).select("key_1", F.col("first_b").alias("key_2"))
-    right = texts.where("many").join(of_b, ["form", "stored_b"]).where("key_2 <> first_b").select(F.col("first_a").alias("key_1"), "key_2")
-    return few.unionByName(left).unionByName(right).select(F.least("key_1", "key_2").alias("key_a"), F.greatest("key_1", "key_2").alias("key_b"))
+    keys = [*by, "form"]
+    rows = materialize(look_alike_rows(forms, by), "look-alike-rows")
+    variants = rows.groupBy(*keys, "stored").agg(F.count(F.lit(1)).alias("n_rows"), F.min("key").alias("first"))
+    of = lambda side: variants.select(*keys, *[F.col(c).alias(f"{c}_{side}") for c in ("stored", "n_rows", "first")])
+    texts = of("a").join(of("b"), keys).where("stored_a < stored_b").withColumn("many", F.col("n_rows_a") * F.col("n_rows_b") > listed)
+    row = lambda side, name: rows.select(*keys, F.col("stored").alias(f"stored_{side}"), F.col("key").alias(name))
+    # a row of the first text, with all rows of the second or, where those are too many, its first one
+    one = texts.join(row("a", "key_1"), [*keys, "stored_a"])
+    few = one.where("NOT many").join(row("b", "key_2"), [*keys, "stored_b"]).select(*by, "key_1", "key_2")
+    left = one.where("many").select(*by, "key_1", F.col("first_b").alias("key_2"))
+    right = texts.where("many").join(row("b", "key_2"), [*keys, "stored_b"]).where("key_2 <> first_b").select(*by, F.col("first_a").alias("key_1"), "key_2")
+    return few.unionByName(left).unionByName(right).select(*by, F.least("key_1", "key_2").alias("key_a"), F.greatest("key_1", "key_2").alias("key_b"))
 
 
 _FIELDS = [("search_records", "search_id", "title"), ("search_records", "search_id", "decision_number"), ("chunks", "row_id", "text")]
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    out = None
-    for name, key, field in _FIELDS:
-        forms = reading_forms(table(spark, folder, name), key, field)
-        part = look_alike_pairs(forms).select(F.lit(name).alias("table_name"), F.lit(field).alias("field"), "key_a", "key_b")
-        out = part if out is None else out.unionByName(part)
-    return out
+    parts = [reading_forms(table(spark, folder, n), k, f).select(F.lit(n).alias("table_name"), F.lit(f).alias("field"), "key", "stored", "form") for n, k, f in _FIELDS]
+    forms = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return look_alike_pairs(forms, by=("table_name", "field"))
 
 
 def p2_classes(spark: SparkSession, folder: str) -> DataFrame:
     """Each title with the digest that titles reading alike share, and how many stored texts share it."""
     forms = reading_forms(table(spark, folder, "search_records"), "search_id", "title")
-    texts = look_alike_variants(forms).groupBy("form").agg(F.count(F.lit(1)).alias("n_texts"))
-    return forms.join(texts, "form", "left").select(F.col("key").alias("search_id"), F.col("form").alias("class_id"), F.coalesce("n_texts", F.lit(1)).cast("long").alias("n_texts"))
+    texts = forms.select("form", "stored").distinct().groupBy("form").agg(F.count(F.lit(1)).alias("n_texts"))
+    return forms.join(texts, "form").select(F.col("key").alias("search_id"), F.col("form").alias("class_id"), "n_texts")
