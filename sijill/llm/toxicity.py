@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -69,11 +70,14 @@ _MASK = re.compile(r"[*#@$]")
 _ARABIC_HEAD = re.compile(r"^(?:وال|بال|فال|كال|لل|ال|و|ف|ب|ل)(?=...)")
 
 
+#: Folding and the dropping of marks and invisible characters in one table.
+_PLAIN = {cp: None for cp in range(0x80, 0x10000) if unicodedata.category(chr(cp)) in ("Mn", "Cf", "Me")} | _FOLD
+
+
 def plain(text: str) -> str:
     """Shapes, marks, stretching and invisible characters folded; lower case."""
-    text = unicodedata.normalize("NFKC", text)
     if not text.isascii():
-        text = "".join(ch for ch in text.translate(_FOLD) if unicodedata.category(ch) not in ("Mn", "Cf", "Me"))
+        text = unicodedata.normalize("NFKC", text).translate(_PLAIN)
     return text.casefold()
 
 
@@ -174,6 +178,11 @@ class Terms:
         return out
 
 
+def laid_out(sentences: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.fromiter(map(len, sentences), np.int64, len(sentences))
+    return np.fromiter(chain.from_iterable(sentences), np.int64, int(sizes.sum())), np.concatenate([[0], sizes[:-1].cumsum()])
+
+
 class FactorizationMachine:
     """score(x) = b + sum w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j over the terms of a sentence."""
 
@@ -184,14 +193,14 @@ class FactorizationMachine:
         self.v = rng.normal(0, 0.05, (1 << BITS, FACTORS)).astype(np.float32)
 
     def scores(self, sentences: list[list[int]]) -> np.ndarray:
-        if not sentences:
-            return np.zeros(0, np.float32)
-        at = np.concatenate([np.asarray(s) for s in sentences])
-        cut = np.cumsum([0, *map(len, sentences)])[:-1]
+        return self.scores_at(*laid_out(sentences)) if sentences else np.zeros(0, np.float32)
+
+    def scores_at(self, at: np.ndarray, cut: np.ndarray) -> np.ndarray:
+        """Scores of sentences laid end to end: their terms, and where each begins."""
         v = self.v[at]
         linear = np.add.reduceat(self.w[at], cut)
-        total, square = np.add.reduceat(v, cut), np.add.reduceat(v * v, cut)
-        return self.b + linear / SCALE + 0.5 * (total * total - square).sum(1) / SCALE**2
+        total, square = np.add.reduceat(v, cut), np.add.reduceat((v * v).sum(1), cut)
+        return self.b + linear / SCALE + 0.5 * ((total * total).sum(1) - square) / SCALE**2
 
     def fit(self, sentences: list[list[int]], labels: np.ndarray, weights: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> None:
         """Logistic loss, one sentence at a time, AdaGrad steps."""
@@ -258,8 +267,9 @@ class Classifier:
         out = np.zeros((len(texts), len(CATEGORIES)))
         if sentences:
             owner = np.asarray(owner)
+            laid = laid_out(sentences)
             for k, category in enumerate(CATEGORIES):
-                p = 1 / (1 + np.exp(-np.clip(self.machines[category].scores(sentences), -30, 30)))
+                p = 1 / (1 + np.exp(-np.clip(self.machines[category].scores_at(*laid), -30, 30)))
                 np.maximum.at(out[:, k], owner, p)
         return out
 
