@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sijill.session import table
+from sijill.session import materialize, table
 
 #: Pivots of each kind, the largest radius, and cores in a task's share of a cell.
 PIVOTS, RADIUS, SHARE = 48, 3, 5_000
@@ -265,9 +265,9 @@ def _batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def radius_join(typed: DataFrame, registered: DataFrame) -> DataFrame:
-    """(value, kind, core, party_id, form, distance): all pairs of a core and a form of its kind within the core's radius.
+    """(kind, core, party_id, form, distance): all pairs of a core and a form of its kind within the core's radius.
 
-    typed: value, kind, core, spent; registered: party_id, kind, form. Exact: with p the
+    typed: different (kind, core); registered: party_id, kind, form. Exact: with p the
     nearest pivot of a form f, d(q, p) <= d(q, p*) + 2r for the core's own nearest pivot
     p*, and d(q, p) <= r + the cell's radius; all such cells get the core. Inside a cell
     pairs are first bounded by their distances to the pivot. The share of a cell that one
@@ -291,7 +291,7 @@ def radius_join(typed: DataFrame, registered: DataFrame) -> DataFrame:
     placed = registered.select("party_id", "kind", "form").mapInArrow(place, "party_id long, kind string, form string, cell int, to_pivot int")
     reach = {(r.kind, r.cell): r.far for r in placed.groupBy("kind", "cell").agg(F.max("to_pivot").alias("far")).collect()}
     reached = spark.sparkContext.broadcast(reach)
-    DEALT = pa.schema([("value", pa.string()), ("kind", pa.string()), ("core", pa.string()), ("spent", pa.int32()), ("cell", pa.int32()), ("to_pivot", pa.int32())])
+    DEALT = pa.schema([("kind", pa.string()), ("core", pa.string()), ("cell", pa.int32()), ("to_pivot", pa.int32())])
 
     def deal(batches):
         for b in batches:
@@ -307,13 +307,13 @@ def radius_join(typed: DataFrame, registered: DataFrame) -> DataFrame:
                     yield _batch(out, DEALT)
 
     salts = max(1, -(-typed.count() // SHARE))
-    dealt = typed.mapInArrow(deal, "value string, kind string, core string, spent int, cell int, to_pivot int").withColumn("salt", F.pmod(F.xxhash64("core"), F.lit(salts)).cast("int"))
+    dealt = typed.mapInArrow(deal, "kind string, core string, cell int, to_pivot int").withColumn("salt", F.pmod(F.xxhash64("core"), F.lit(salts)).cast("int"))
     spread = placed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
 
     def join(q: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
-        names = ["value", "kind", "core", "spent", "party_id", "form", "distance"]
+        names = ["kind", "core", "party_id", "form", "distance"]
         if not len(q) or not len(f):
-            return pd.DataFrame({n: pd.Series([], dtype="int64" if n in ("spent", "party_id", "distance") else object) for n in names})
+            return pd.DataFrame({n: pd.Series([], dtype="int64" if n in ("party_id", "distance") else object) for n in names})
         qs, fs = q["core"].tolist(), f["form"].tolist()
         nf, df = np.array([len(x) for x in fs]), f["to_pivot"].to_numpy()
         out = []
@@ -327,10 +327,10 @@ def radius_join(typed: DataFrame, registered: DataFrame) -> DataFrame:
             out.append((start + qi[keep], fi[keep], d[keep]))
         at, to, d = (np.concatenate(x) for x in zip(*out))
         # plain objects: chunked string columns don't pass the Arrow writer
-        columns = [q[n].to_numpy(dtype=object)[at] for n in names[:4]] + [f[n].to_numpy(dtype=object)[to] for n in names[4:6]] + [d]
-        return pd.DataFrame({n: c.astype("int64") if n in ("spent", "party_id", "distance") else pd.Series(c.tolist(), dtype=object) for n, c in zip(names, columns)})
+        columns = [q[n].to_numpy(dtype=object)[at] for n in names[:2]] + [f[n].to_numpy(dtype=object)[to] for n in names[2:4]] + [d]
+        return pd.DataFrame({n: c.astype("int64") if n in ("party_id", "distance") else pd.Series(c.tolist(), dtype=object) for n, c in zip(names, columns)})
 
-    return dealt.groupBy("kind", "cell", "salt").cogroup(spread.groupBy("kind", "cell", "salt")).applyInPandas(join, "value string, kind string, core string, spent int, party_id long, form string, distance int")
+    return dealt.groupBy("kind", "cell", "salt").cogroup(spread.groupBy("kind", "cell", "salt")).applyInPandas(join, "kind string, core string, party_id long, form string, distance int")
 
 
 def link_names(values: DataFrame, parties: DataFrame) -> DataFrame:
@@ -355,19 +355,20 @@ def link_names(values: DataFrame, parties: DataFrame) -> DataFrame:
                 i, k, f = zip(*out)
                 yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(k), pa.array(f)], ["party_id", "kind", "form"])
 
-    typed = distinct.mapInArrow(read, "value string, kind string, core string, spent int")
+    typed = materialize(distinct.mapInArrow(read, "value string, kind string, core string, spent int"), "name-cores")
     registered = parties.select(F.col("party_id").cast("long"), "official_name", "kind").mapInArrow(write, "party_id long, kind string, form string")
-    pairs = radius_join(typed, registered)
+    # many values come down to one core: each is joined and checked once
+    pairs = radius_join(typed.select("kind", "core").distinct(), registered)
 
     def check(batches):
         for b in batches:
-            rows = [(v, p, e + osa(c, f, 9)) for v, p, c, f, e in zip(*(b.column(n).to_pylist() for n in ("value", "party_id", "core", "form", "spent"))) if agrees(c, f)]
+            rows = [(k, c, p, osa(c, f, 9)) for k, c, p, f in zip(*(b.column(n).to_pylist() for n in ("kind", "core", "party_id", "form"))) if agrees(c, f)]
             if rows:
-                v, p, e = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(p, pa.int64()), pa.array(e, pa.int32())], ["value", "party_id", "cost"])
+                k, c, p, e = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c), pa.array(p, pa.int64()), pa.array(e, pa.int32())], ["kind", "core", "party_id", "edits"])
 
-    scored = pairs.mapInArrow(check, "value string, party_id long, cost int")
-    per_party = scored.groupBy("value", "party_id").agg(F.min("cost").alias("cost"))
+    checked = pairs.mapInArrow(check, "kind string, core string, party_id long, edits int").groupBy("kind", "core", "party_id").agg(F.min("edits").alias("edits"))
+    per_party = typed.join(checked, ["kind", "core"]).groupBy("value", "party_id").agg(F.min(F.col("edits") + F.col("spent")).alias("cost"))
     best = per_party.groupBy("value").agg(F.min(F.struct("cost", "party_id")).alias("first"), F.sort_array(F.collect_list("cost")).alias("costs"))
     clear = best.where((F.size("costs") == 1) | (F.element_at("costs", 1) < F.element_at("costs", 2)))
     return clear.select("value", F.col("first.party_id").alias("party_id"))
