@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sijill.session import table
+from sijill.session import spread, table
 
 # Which child table an element belongs to, by the key it stands under.
 CHILD_TABLE = {
@@ -161,7 +161,7 @@ def nested_rows(df: DataFrame, key: str, payload: str, bodies: bool = True) -> D
         cols = list(zip(*out))
         return pa.RecordBatch.from_arrays([pa.array(cols[0], to_key)] + [pa.array(c, pa.string()) for c in cols[1:]], [key, *SCHEMA.names])
 
-    return df.select(key, payload).where(F.col(payload).isNotNull()).mapInArrow(run, T.StructType([T.StructField(key, kind), *SCHEMA.fields]))
+    return spread(df.select(key, payload).where(F.col(payload).isNotNull())).mapInArrow(run, T.StructType([T.StructField(key, kind), *SCHEMA.fields]))
 
 
 def subtype_table(rows: DataFrame, child_table: str) -> DataFrame:

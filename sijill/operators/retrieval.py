@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sijill.functions import arabic as A
 from sijill.functions.extract import bounded
+from sijill.session import materialize, spread
 
 K1, B = 1.5, 0.75
 #: Queries held by a worker at once; more are scored block after block.
@@ -51,23 +52,40 @@ LAYER_BONUS = {"metadata": 0.08, "lexical": 0.05, "semantic": 0.03}
 NEAR_DUPLICATE = 0.85
 
 
+def term_rows(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, term): the search tokens of each text, one row for each time a token or variant stands.
+
+    Tokens are exploded before their variants are made, so both steps are compiled
+    projections rather than lambdas over arrays.
+    """
+    raw = spread(df.select(key, text)).select(key, F.explode(F.regexp_extract_all(A.normalize_search(F.col(text)), F.lit(A.TOKEN), F.lit(0))).alias("raw"))
+    kept = raw.where(~F.col("raw").isin(A.STOP_WORDS) & (F.col("raw").rlike("^[0-9]+$") | (F.length("raw") > 1)))
+    return kept.select(key, F.explode(A.token_variants(F.col("raw"))).alias("term"))
+
+
+def term_frequencies(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, term, tf): the inverted index of a table."""
+    return term_rows(df, key, text).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
 def bm25(queries: DataFrame, docs: DataFrame, k: int | None = 10) -> DataFrame:
     """(query_id, doc_id, score, place): Okapi BM25 of every text that shares a term, as a share of the query's best.
 
     queries: query_id, text; docs: doc_id, text. Query terms count as often as they
     stand. Texts without terms count in the averages; queries and texts that share
-    nothing give no row. Only postings of terms that some query holds are kept; they are
-    dealt over salts before the join, and the sums combine before their shuffle.
+    nothing give no row. The inverted index is written once; only postings of terms that
+    some query holds go further, dealt over salts before the join, and the sums combine
+    before their shuffle.
     """
-    terms = docs.select("doc_id", A.search_tokens(F.col("text")).alias("tokens"))
-    sized = terms.withColumn("dl", F.size("tokens"))
-    stats = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    asked = queries.select("query_id", F.explode(A.search_tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    postings = sized.select("doc_id", "dl", F.explode("tokens").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    index = materialize(term_frequencies(docs, "doc_id", "text"), "index")
+    lengths = index.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
+    stats = docs.agg(F.count(F.lit(1)).alias("n")).crossJoin(lengths.agg(F.sum("dl").alias("total"))).select("n", (F.col("total") / F.col("n")).alias("avgdl"))  # one row each
+    asked = term_frequencies(queries, "query_id", "text").withColumnRenamed("tf", "times")
+    postings = index.join(asked.select("term").distinct(), "term", "left_semi")
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weighted = asked.join(df, "term").crossJoin(F.broadcast(stats))  # one row of statistics
+    weighted = asked.join(df, "term").crossJoin(F.broadcast(stats))
     salted = weighted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    dealt = postings.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    dealt = postings.join(lengths, "doc_id").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     part = F.col("times") * F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     raw = dealt.join(salted, ["term", "salt"]).groupBy("query_id", "doc_id").agg(F.sum(part).alias("raw"))
     best = raw.groupBy("query_id").agg(F.max("raw").alias("best"))

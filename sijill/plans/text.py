@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from sijill.functions import arabic as A
+from sijill.operators.retrieval import term_frequencies
 from sijill.session import table
 
 
@@ -20,8 +21,7 @@ def presentation_forms(spark, folder):
 
 def token_counts(spark, folder):
     """Terms of all documents: how often, and in how many."""
-    docs = table(spark, folder, "documents").select("doc_id", F.explode(A.search_tokens(F.col("text"))).alias("term"))
-    per_doc = docs.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
+    per_doc = term_frequencies(table(spark, folder, "documents"), "doc_id", "text")
     return per_doc.groupBy("term").agg(F.sum("tf").alias("n_tokens"), F.count(F.lit(1)).alias("n_docs"))
 
 

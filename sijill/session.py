@@ -49,6 +49,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over all cores where the scan has fewer partitions than those; else as they are.
+
+    For work that costs much a row on inputs of one or few files; inputs of the size this
+    package is made for have more partitions than cores and aren't moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder shared by all executors, as the cluster names it in spark.checkpoint.dir.
 
