@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sijill.llm.mojibake import SUSPICIOUS, restore_all
-from sijill.session import materialize, table
+from sijill.session import materialize, spread, table
 
 # Letters, digits and marks of the same look; each group is one class.
 SAME_LOOK = """
@@ -204,7 +204,7 @@ def reading_forms(df: DataFrame, key: str, field: str, counts: dict[str, int] |
     """
     rewriter = Rewriter(class_counts(df, field) if counts is None else counts)
     shown = F.replace(F.col("v"), F.lit("\r"), F.lit(""))
-    rows = df.select(F.col(key).cast("long").alias("key"), F.col(field).alias("v")).where(F.col("v").isNotNull())
+    rows = spread(df.select(F.col(key).cast("long").alias("key"), F.col(field).alias("v")).where(F.col("v").isNotNull()))
     # one scan of each text; only those with rare members are sent on
     once = rows.select(
         "key",

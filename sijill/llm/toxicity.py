@@ -19,13 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sijill.session import table
+from sijill.session import spread, table
 
 CATEGORIES = ("abusive", "hateful", "sexual")
 #: Hash space, factors and training steps; at most so many reviewed texts are read to the driver.
-BITS, FACTORS, EPOCHS, RATE, DECAY, SCALE, MAX_REVIEWED = 16, 8, 25, 0.08, 2e-4, 2.0, 50_000
+BITS, FACTORS, EPOCHS, REFINE, RATE, DECAY, SCALE, MAX_REVIEWED = 16, 8, 25, 10, 0.08, 2e-4, 2.0, 50_000
 #: Words the machine knows nothing of leave a sentence near the bias, at some hundredths; evidence lifts it far beyond.
-THRESHOLD = 0.2
+THRESHOLD = 0.1
 
 _FOLD = str.maketrans("أإآٱىةیکہے", "اااايهيكهي", "ـ")
 # Letters written as digits or signs inside Latin words.
@@ -245,16 +245,16 @@ class Classifier:
                         best = int(machine.scores(sents).argmax()) if label == category else -1
                         for k, s in enumerate(sents):
                             (chosen if k == best else rest).append(s)
-                machine = self._train(pos + chosen, neg + rest)
+                machine = self._train(pos + chosen, neg + rest, machine, REFINE)
             self.machines[category] = machine
 
     @staticmethod
-    def _train(pos, neg) -> FactorizationMachine:
-        machine = FactorizationMachine()
+    def _train(pos, neg, machine: FactorizationMachine | None = None, epochs: int = EPOCHS) -> FactorizationMachine:
+        machine = machine or FactorizationMachine()
         if pos and neg:
             labels = np.array([1.0] * len(pos) + [0.0] * len(neg))
             weights = np.ones(len(labels))
-            machine.fit(pos + neg, labels, weights)
+            machine.fit(pos + neg, labels, weights, epochs)
         return machine
 
     def score(self, texts: list[str | None]) -> np.ndarray:
@@ -287,7 +287,7 @@ def score_documents(documents: DataFrame, key: str, field: str, model: Classifie
     independent: no shuffle. The model's size is fixed by its hash space.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    rows = documents.select(F.col(key).cast("long").alias(key), F.col(field).alias("_text"), *keep)
+    rows = spread(documents.select(F.col(key).cast("long").alias(key), F.col(field).alias("_text"), *keep))
     schema = ", ".join([f"`{key}` long", *[f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in keep], *[f"{c} double" for c in CATEGORIES]])
 
     def run(batches):
