@@ -15,12 +15,12 @@ def _records(spark, folder):
 
 def numbered_items(spark, folder):
     items = _records(spark, folder).select("record_id", F.inline(S.numbered_items(S.paragraphs(F.col("long_text")))))
-    return items.select("record_id", "kind", "number", "paragraph_index")
+    return items.select("record_id", "kind", "number", F.col("paragraph_index").cast("long").alias("paragraph_index"))
 
 
 def document_sections(spark, folder):
     ps = _records(spark, folder).select("record_id", S.paragraphs(F.col("long_text")).alias("ps"))
-    return ps.select("record_id", F.inline(S.sections(F.col("ps"))))
+    return ps.select("record_id", F.inline(S.sections(F.col("ps")))).select("record_id", "section_id", F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"))
 
 
 def page_lines(spark, folder):
