@@ -59,6 +59,11 @@ def government_types(spark, folder):
     return table(spark, folder, "search_records").select("search_id", X.government_type(F.col("filename"), F.col("title")).alias("type"), X.authority(F.col("title")).alias("authority"))
 
 
+def government_types_text(spark, folder):
+    """Type and authority of each record by its file's name and its whole document's text; government_types reads titles only."""
+    return _records(spark, folder).select("record_id", X.government_type(F.col("source_file"), F.col("long_text")).alias("type"), X.authority(F.col("long_text")).alias("authority"))
+
+
 def date_validity(spark, folder):
     return table(spark, folder, "decision_metadata").select("decision_id", X.valid_date(F.col("issue_date")).alias("valid"))
 
@@ -89,7 +94,7 @@ def paragraph_coverage(spark, folder):
     )
 
 
-QUERIES = {f.__name__: f for f in (extract_dates, extract_amounts, extract_numbers, extract_entities, title_number_year, typed_references, entity_categories, paragraph_types, document_types, government_types, date_validity, validate_errors, paragraph_coverage)}
+QUERIES = {f.__name__: f for f in (extract_dates, extract_amounts, extract_numbers, extract_entities, title_number_year, typed_references, entity_categories, paragraph_types, document_types, government_types, government_types_text, date_validity, validate_errors, paragraph_coverage)}
 
 
 def _all(x, p, g=0):
