@@ -1,6 +1,7 @@
 """Queries of search, ranking and answers (survey 2.4 to 2.9, 2.13).
 
-The question set is every search record whose id is divisible by 50, against all rows.
+The question set of searches is every search record whose id is divisible by 50, against
+all rows; question_signals and extractive_summary_all take every search record.
 """
 
 from pyspark.sql import Window as W
@@ -37,7 +38,7 @@ def lexical_relevance(spark, folder):
 
 
 def question_signals(spark, folder):
-    norm = _questions(spark, folder).select("query_id", A.normalize_search(F.col("text")).alias("n"))
+    norm = table(spark, folder, "search_records").select(F.col("search_id").alias("query_id"), A.normalize_search(F.col("title")).alias("n"))
     return norm.select("query_id", F.array_join(R.signals(F.col("n")), " | ").alias("signals"), F.array_join(R.intents(F.col("n")), " | ").alias("intents"))
 
 
@@ -81,17 +82,26 @@ def answer_number_validation(spark, folder):
     return _cited(spark, folder).select("entry_id", F.array_join(F.array_sort(missing), ",").alias("unsupported"))
 
 
-def extractive_summary(spark, folder):
+def _summaries(spark, folder, rows):
     """The three lines of a record's text nearest to its title, by shared tokens; equals by their place."""
-    asked = table(spark, folder, "search_records").where("search_id % 50 = 0 AND document_id IS NOT NULL").select("search_id", "document_id", F.array_distinct(A.search_tokens(F.col("title"))).alias("q"))
+    asked = rows.where("document_id IS NOT NULL").select("search_id", "document_id", F.array_distinct(A.search_tokens(F.col("title"))).alias("q"))
     texts = table(spark, folder, "loaded_legal_json").where("document_id IS NOT NULL").groupBy("document_id").agg(F.max_by("long_text", "record_id").alias("t"))
     lines = asked.join(texts, "document_id").select("search_id", "q", F.posexplode(F.split("t", "\n")).alias("line_no", "line")).where("length(trim(line)) >= 12")
-    scored = lines.withColumn("score", F.round(F.size(F.array_intersect("q", F.array_distinct(A.search_tokens(F.col("line"))))) / F.size("q"), 6)).where("score > 0")
+    scored = lines.withColumn("score", F.round(F.size(F.array_intersect("q", F.array_distinct(A.search_tokens(F.col("line"))))) / F.nullif(F.size("q"), F.lit(0)), 6)).where("score > 0")
     best = scored.groupBy("search_id", F.trim("line").alias("line")).agg(F.max("score").alias("score"), F.min("line_no").alias("line_no"))
     return R.top_k(best, "search_id", [F.desc("score"), F.asc("line_no")], 3).select("search_id", "line", "score")
 
 
-QUERIES = {f.__name__: f for f in (bm25_topk, hybrid_rerank, lexical_relevance, question_signals, vector_topk_l2, vector_topk_cosine, exact_law_lookup, supporting_sources, answer_number_validation, extractive_summary)}
+def extractive_summary(spark, folder):
+    return _summaries(spark, folder, table(spark, folder, "search_records").where("search_id % 50 = 0"))
+
+
+def extractive_summary_all(spark, folder):
+    """extractive_summary for every search record."""
+    return _summaries(spark, folder, table(spark, folder, "search_records"))
+
+
+QUERIES = {f.__name__: f for f in (bm25_topk, hybrid_rerank, lexical_relevance, question_signals, vector_topk_l2, vector_topk_cosine, exact_law_lookup, supporting_sources, answer_number_validation, extractive_summary, extractive_summary_all)}
 
 _Q = f"q AS (SELECT search_id AS query_id, unnest({A.search_tokens_sql('title')}) AS term FROM search_records WHERE search_id % 50 = 0)"
 _CITED = "c AS (SELECT chunk_id, arg_max(text, row_id) AS text FROM chunks WHERE text IS NOT NULL AND chunk_id IS NOT NULL GROUP BY chunk_id), j AS (SELECT entry_id, legal_reference, text FROM citation_registry JOIN c USING (chunk_id) WHERE legal_reference IS NOT NULL)"

@@ -4,6 +4,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 
 import __spark_entry__ as entry
+from tests.compare import assert_same, duck
 
 
 def run(spark, name, folder):
@@ -19,3 +20,13 @@ def test_government_types_read_the_text(spark, tmp_path):
     put(tmp_path, "loaded_legal_json", [{"record_id": i, "source_file": "قانون.json" if t is None else "a.json", "long_text": t} for i, t in enumerate(texts)])
     got = {r.record_id: (r.type, r.authority) for r in run(spark, "government_types_text", tmp_path).collect()}
     assert got == {0: ("decree", "رئاسة الجمهورية"), 1: ("instruction", None), 2: ("unknown", None), 3: ("law", None)}
+
+
+def test_signals_and_summaries_of_every_record(spark, small):
+    con = duck(small)
+    ids = [r[0] for r in con.execute("SELECT search_id FROM search_records ORDER BY 1").fetchall()]
+    assert sorted(r.query_id for r in run(spark, "question_signals", small).collect()) == ids
+    sql = entry.oracle_sql()["extractive_summary"]
+    assert sql.count("WHERE search_id % 50 = 0") == 1
+    # a title without tokens divides 0 by 0 there, which DuckDB reads as more than 0; it shares no token, so it has no lines
+    assert_same(run(spark, "extractive_summary_all", small), con, f"SELECT * FROM ({sql.replace('WHERE search_id % 50 = 0', '')}) WHERE NOT isnan(score)")
