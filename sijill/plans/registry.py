@@ -4,6 +4,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sijill.operators import registry as R
+from sijill.operators.structure import PAGE_NUMBER
 from sijill.session import table
 
 
@@ -88,6 +89,22 @@ def repeated_edge_lines(spark, folder):
     return counted.join(pages, "source_file").where(F.col("n") >= F.greatest(F.lit(2), F.floor(F.col("n_pages") / 2))).select("source_file", "line", "n")
 
 
+def repeated_page_edges(spark, folder):
+    """Lines among the first three or last two non-blank ones of a source's chunks that most of three or more chunks have (survey 181).
+
+    Each chunk counts once for a line, also a short one whose first and last lines are the
+    same; page numbers are left out. repeated_edge_lines looks at one raw line at each end.
+    """
+    tidy = lambda v: F.trim(F.regexp_replace(v, r"(?U)[\s\x1c-\x1f]+", " "))
+    lines = F.filter(F.transform(F.split("text", r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"), tidy), lambda v: v != "")
+    rows = table(spark, folder, "chunks").where("text IS NOT NULL AND source_file IS NOT NULL").select("source_file", lines.alias("l")).where(F.size("l") > 0)
+    last = F.slice("l", F.greatest(F.size("l") - 1, F.lit(1)), 2)
+    edges = rows.select("source_file", F.explode(F.array_distinct(F.concat(F.slice("l", 1, 3), last))).alias("line")).where(~F.col("line").rlike(PAGE_NUMBER))
+    pages = rows.groupBy("source_file").agg(F.count(F.lit(1)).alias("n_pages")).where("n_pages >= 3")
+    counted = edges.groupBy("source_file", "line").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    return counted.join(pages, "source_file").where(F.col("n") >= F.greatest(F.lit(2), F.floor(F.col("n_pages") / 2) + 1)).select("source_file", "line", "n")
+
+
 def best_document_per_question(spark, folder):
     """For each party named as sender, the ministry it writes to most, if that is one."""
     pairs = table(spark, folder, "decision_metadata").where("sender IS NOT NULL AND ministry IS NOT NULL").groupBy("sender", "ministry").agg(F.count(F.lit(1)).alias("score"))
@@ -137,7 +154,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         citation_registry_build, law_article_map, registry_semi, registry_anti, registry_warnings, dedupe_last_wins, unique_ids_suffix, replace_source_citations, source_statistics,
-        group_concat_sections, carry_forward_article, section_islands, item_spans_lead, repeated_edge_lines, best_document_per_question, merge_layers, categories_distinct,
+        group_concat_sections, carry_forward_article, section_islands, item_spans_lead, repeated_edge_lines, repeated_page_edges, best_document_per_question, merge_layers, categories_distinct,
         keyword_filter, audit_page, review_status_upsert, source_text_precedence,
     )
 }

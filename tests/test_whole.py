@@ -1,5 +1,8 @@
 """Queries that do the whole of their job, on small fixtures and against plain Python."""
 
+import re
+from collections import Counter, defaultdict
+
 import pyarrow as pa
 import pyarrow.parquet as pq
 
@@ -30,3 +33,18 @@ def test_signals_and_summaries_of_every_record(spark, small):
     assert sql.count("WHERE search_id % 50 = 0") == 1
     # a title without tokens divides 0 by 0 there, which DuckDB reads as more than 0; it shares no token, so it has no lines
     assert_same(run(spark, "extractive_summary_all", small), con, f"SELECT * FROM ({sql.replace('WHERE search_id % 50 = 0', '')}) WHERE NOT isnan(score)")
+
+
+def test_page_edges_against_plain_python(spark, tmp_path, medium):
+    pages = [f"\n h{i}\nرأس  الصفحة\nب {i}\nنص {i}\nتذييل\nم {i}\n\n" for i in range(4)]
+    put(tmp_path, "chunks", [{"source_file": "a", "text": t} for t in [*pages, None]] + [{"source_file": "b", "text": "x\ny"}] * 2 + [{"source_file": "c", "text": t} for t in "xyz"])
+    assert {tuple(r) for r in run(spark, "repeated_page_edges", tmp_path).collect()} == {("a", "رأس الصفحة", 4), ("a", "تذييل", 4)}
+    sources = defaultdict(list)
+    for source, text in duck(medium).execute("SELECT source_file, text FROM chunks WHERE text IS NOT NULL AND source_file IS NOT NULL").fetchall():
+        if lines := [re.sub(r"[^\S\n]+", " ", x).strip() for x in text.splitlines() if x.strip()]:
+            sources[source].append(lines)
+    want = set()
+    for source, own in sources.items():
+        counts = Counter(x for lines in own for x in {*lines[:3], *lines[-2:]})
+        want |= {(source, x, n) for x, n in counts.items() if len(own) >= 3 and n >= max(2, len(own) // 2 + 1) and not re.fullmatch(r"(?i:page|صفحة)\s*[0-9٠-٩]+", x)}
+    assert want and {tuple(r) for r in run(spark, "repeated_page_edges", medium).collect()} == want
