@@ -32,11 +32,11 @@ CHILD_TABLE = {
 }
 #: States in which an object's keys are searched for children.
 SEARCHED = {"root", "decision", "section", "legal_item"}
-#: Columns of the typed subtype tables; bodies keep whatever else a variant holds.
+#: Columns of the typed subtype tables; a reference's target is kept as JSON. Whatever else a variant holds stays in the supertype's body.
 SUBTYPES = {
     "section": {"section_id": "string", "title": "string", "text": "string", "paragraph_indexes": "array<int>"},
     "legal_item": {"kind": "string", "number": "string", "paragraph_index": "int", "text": "string"},
-    "reference": {"type": "string", "text": "string"},
+    "reference": {"type": "string", "text": "string", "target": "string"},
     "entity": {"name": "string", "role": "string", "category": "string", "aliases": "array<string>"},
 }
 SCHEMA = T.StructType(
@@ -201,3 +201,13 @@ def p3_sections(spark: SparkSession, folder: str) -> DataFrame:
 def p3_entities(spark: SparkSession, folder: str) -> DataFrame:
     records = table(spark, folder, "loaded_legal_json")
     return subtype_table(nested_rows(records, "record_id", "payload"), "entity")
+
+
+def p3_legal_items(spark: SparkSession, folder: str) -> DataFrame:
+    records = table(spark, folder, "loaded_legal_json")
+    return subtype_table(nested_rows(records, "record_id", "payload"), "legal_item")
+
+
+def p3_references(spark: SparkSession, folder: str) -> DataFrame:
+    records = table(spark, folder, "loaded_legal_json")
+    return subtype_table(nested_rows(records, "record_id", "payload"), "reference")

@@ -8,6 +8,8 @@ QUERIES = {
     "p3_variants": nested.p3_variants,
     "p3_sections": nested.p3_sections,
     "p3_entities": nested.p3_entities,
+    "p3_legal_items": nested.p3_legal_items,
+    "p3_references": nested.p3_references,
     "p6_found": orphans.p6_found,
     "p6_report": orphans.p6_report,
 }
