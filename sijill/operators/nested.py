@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sijill.session import spread, table
+from sijill.session import texts
 
 # Which child table an element belongs to, by the key it stands under.
 CHILD_TABLE = {
@@ -161,7 +161,7 @@ def nested_rows(df: DataFrame, key: str, payload: str, bodies: bool = True) -> D
         cols = list(zip(*out))
         return pa.RecordBatch.from_arrays([pa.array(cols[0], to_key)] + [pa.array(c, pa.string()) for c in cols[1:]], [key, *SCHEMA.names])
 
-    return spread(df.select(key, payload).where(F.col(payload).isNotNull())).mapInArrow(run, T.StructType([T.StructField(key, kind), *SCHEMA.fields]))
+    return df.select(key, payload).where(F.col(payload).isNotNull()).mapInArrow(run, T.StructType([T.StructField(key, kind), *SCHEMA.fields]))
 
 
 def subtype_table(rows: DataFrame, child_table: str) -> DataFrame:
@@ -184,30 +184,30 @@ def variant_table(rows: DataFrame) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    records = table(spark, folder, "loaded_legal_json")
+    records = texts(spark, folder, "loaded_legal_json", "record_id", "payload")
     return nested_rows(records, "record_id", "payload", bodies=False).select("record_id", "child_table", "path", "parent_path")
 
 
 def p3_variants(spark: SparkSession, folder: str) -> DataFrame:
-    records = table(spark, folder, "loaded_legal_json")
+    records = texts(spark, folder, "loaded_legal_json", "record_id", "payload")
     return variant_table(nested_rows(records, "record_id", "payload"))
 
 
 def p3_sections(spark: SparkSession, folder: str) -> DataFrame:
-    records = table(spark, folder, "loaded_legal_json")
+    records = texts(spark, folder, "loaded_legal_json", "record_id", "payload")
     return subtype_table(nested_rows(records, "record_id", "payload"), "section")
 
 
 def p3_entities(spark: SparkSession, folder: str) -> DataFrame:
-    records = table(spark, folder, "loaded_legal_json")
+    records = texts(spark, folder, "loaded_legal_json", "record_id", "payload")
     return subtype_table(nested_rows(records, "record_id", "payload"), "entity")
 
 
 def p3_legal_items(spark: SparkSession, folder: str) -> DataFrame:
-    records = table(spark, folder, "loaded_legal_json")
+    records = texts(spark, folder, "loaded_legal_json", "record_id", "payload")
     return subtype_table(nested_rows(records, "record_id", "payload"), "legal_item")
 
 
 def p3_references(spark: SparkSession, folder: str) -> DataFrame:
-    records = table(spark, folder, "loaded_legal_json")
+    records = texts(spark, folder, "loaded_legal_json", "record_id", "payload")
     return subtype_table(nested_rows(records, "record_id", "payload"), "reference")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sijill.functions import arabic as A
 from sijill.functions.extract import bounded
-from sijill.session import materialize, spread
+from sijill.session import materialize
 
 K1, B = 1.5, 0.75
 #: Queries held by a worker at once; more are scored block after block.
@@ -58,7 +58,7 @@ def term_rows(df: DataFrame, key: str, text: str) -> DataFrame:
     Tokens are exploded before their variants are made, so both steps are compiled
     projections rather than lambdas over arrays.
     """
-    raw = spread(df.select(key, text)).select(key, F.explode(F.regexp_extract_all(A.normalize_search(F.col(text)), F.lit(A.TOKEN), F.lit(0))).alias("raw"))
+    raw = df.select(key, F.explode(F.regexp_extract_all(A.normalize_search(F.col(text)), F.lit(A.TOKEN), F.lit(0))).alias("raw"))
     kept = raw.where(~F.col("raw").isin(A.STOP_WORDS) & (F.col("raw").rlike("^[0-9]+$") | (F.length("raw") > 1)))
     return kept.select(key, F.explode(A.token_variants(F.col("raw"))).alias("term"))
 

@@ -7,6 +7,8 @@ the normal forms are joined back to the rows.
 
 from __future__ import annotations
 
+import hashlib
+import inspect
 import re
 from datetime import date, datetime, timedelta, timezone
 from functools import lru_cache
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sijill.session import scratch_path, table
+from sijill.session import exists, kept_path, table
 
 DEFAULT_ZONE = "Asia/Baghdad"
 
@@ -185,19 +187,17 @@ class TimestampDictionary:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
-    def _exists(self) -> bool:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-
     def read(self) -> DataFrame:
+        """All pairs; writers at the same time may have appended one twice, so readers group them."""
         return self.spark.read.schema(self.SCHEMA).parquet(self.path)
 
     def extend(self, values: DataFrame) -> DataFrame:
         """values: raw, zone, with repeats; the distinct step combines before its shuffle."""
         new = values.where(F.col("raw").isNotNull()).select("raw", "zone").distinct()
-        if self._exists():
+        if exists(self.spark, self.path):
             new = new.alias("n").join(self.read().alias("k"), F.expr("n.raw = k.raw AND n.zone <=> k.zone"), "left_anti")
+        # the parse is Python: dealt over all cores, which small shuffle blocks would not be
+        new = new.repartition(self.spark.sparkContext.defaultParallelism, F.xxhash64("raw", "zone"))
         new.mapInArrow(_parse_batches, self.SCHEMA).write.mode("append").parquet(self.path)
         return self.read()
 
@@ -211,13 +211,17 @@ def normalise_timestamps(df: DataFrame, key: str, fields: list[str], zone: str,
     splits its rows on the way back.
     """
     pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("raw")) for f in fields])
-    rows = df.select(F.col(key), F.col(zone).cast("string").alias("zone"), F.inline(pairs)).where(F.col("raw").isNotNull())
-    known = dictionary.extend(rows)
+    rows = df.select(F.col(key).alias("_key"), F.col(zone).cast("string").alias("zone"), F.inline(pairs)).where(F.col("raw").isNotNull())
+    # a null zone has a key too, so the dictionary's grouping and the join share one shuffle
+    zoned = F.coalesce(F.concat(F.lit("+"), "zone"), F.lit(""))
+    known = dictionary.extend(rows).groupBy("raw", zoned.alias("zoned")).agg(F.max("normal_form").alias("normal_form"))
     hit = known.where(F.col("normal_form").isNotNull())
-    return rows.alias("r").join(hit.alias("k"), F.expr("r.raw = k.raw AND coalesce(r.zone, '') = coalesce(k.zone, '') AND r.zone <=> k.zone")).select(F.col(f"r.{key}"), F.col("r.field"), F.col("k.normal_form"))
+    return rows.withColumn("zoned", zoned).join(hit, ["raw", "zoned"]).select(F.col("_key").alias(key), "field", "normal_form")
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "search_records")
-    dictionary = TimestampDictionary(spark, scratch_path(spark, "timestamps"))
+    # a grammar of its own has a dictionary of its own
+    grammar = hashlib.md5(inspect.getsource(inspect.getmodule(normalise)).encode()).hexdigest()
+    dictionary = TimestampDictionary(spark, kept_path(spark, f"timestamps-{grammar}"))
     return normalise_timestamps(rows, "search_id", ["issue_date", "session_date"], "source_zone", dictionary)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import pickle
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,31 +53,91 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt over all cores where the scan has fewer partitions than those; else as they are.
+    """A scan's rows dealt over all cores where it has fewer partitions than those; else as they are.
 
-    For work that costs much a row on inputs of one or few files; inputs of the size this
-    package is made for have more partitions than cores and aren't moved.
+    Queries call this on the tables they read, for work that costs much a row; operators
+    never do, so what they get is what they run on. Only for scans (and projections or
+    filters of one): their partitions are known from the files, nothing is run.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
+def texts(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
+    """Some columns of a table, dealt over all cores."""
+    return spread(table(spark, folder, name).select(*columns))
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder shared by all executors, as the cluster names it in spark.checkpoint.dir.
 
-    Only where neither the context nor the configuration names one (tests on one
-    machine) a local temporary folder is made and set.
+    Only on a local master (one machine, as in tests) a temporary folder is made and set
+    where none is named; on a cluster that is an error, for executors share no local disk.
     """
     sc = spark.sparkContext
     root = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="sijill-")
         sc.setCheckpointDir(root)
     return root.rstrip("/")
 
 
+_CLEARED: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{scratch_root(spark)}/sijill/{tag}-{uuid.uuid4().hex}"
+    """A fresh path for one intermediate table; the application's tables are removed when it ends."""
+    folder = f"{scratch_root(spark)}/sijill/run-{spark.sparkContext.applicationId}"
+    if folder not in _CLEARED:
+        _CLEARED.add(folder)
+        atexit.register(clear_scratch, spark, folder)
+    return f"{folder}/{tag}-{uuid.uuid4().hex}"
+
+
+def kept_path(spark: SparkSession, tag: str) -> str:
+    """A stable path in the shared folder, for what later runs go on using."""
+    return f"{scratch_root(spark)}/sijill/kept/{tag}"
+
+
+def _file_system(spark: SparkSession, path: str):
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, at = _file_system(spark, path)
+    return files.exists(at)
+
+
+def clear_scratch(spark: SparkSession, folder: str | None = None) -> None:
+    """Remove the application's intermediate tables; results read from them must be written by then."""
+    try:
+        files, at = _file_system(spark, folder or f"{scratch_root(spark)}/sijill/run-{spark.sparkContext.applicationId}")
+        files.delete(at, True)
+    except Exception:  # the JVM may be gone at exit
+        pass
+
+
+def stored(spark: SparkSession, tag: str, build: Callable[[], object]) -> object:
+    """A small object (a trained model) from the shared folder; built and put there where it is absent.
+
+    It is written beside its place and moved there in one step, so a reader never sees
+    half of it; of two writers one wins, with equal content.
+    """
+    path = kept_path(spark, tag)
+    if exists(spark, path):
+        return pickle.loads(bytes(spark.read.parquet(path).first()[0]))
+    made = build()
+    beside = scratch_path(spark, tag)
+    spark.createDataFrame([(bytearray(pickle.dumps(made)),)], "content binary").coalesce(1).write.parquet(beside)
+    files, at = _file_system(spark, path)
+    files.mkdirs(at.getParent())
+    if not files.exists(at):
+        files.rename(spark._jvm.org.apache.hadoop.fs.Path(beside), at)
+    return made
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:

@@ -61,3 +61,17 @@ def test_found(spark, small):
     df = p1_found(spark, small)
     assert df.columns == ["search_id", "field", "normal_form"]
     assert df.count() > 0
+
+
+def test_pairs_written_twice_count_once(spark):
+    dictionary = TimestampDictionary(spark, scratch_path(spark, "test"))
+    rows = spark.createDataFrame([(1, "1/2/2020", None), (2, "1/2/2020", "")], "id long, d string, zone string")
+    other = spark.createDataFrame([("1/2/2020", None, "2020-02-01")], TimestampDictionary.SCHEMA)
+    other.write.parquet(dictionary.path)
+    other.write.mode("append").parquet(dictionary.path)
+    assert sorted(map(tuple, normalise_timestamps(rows, "id", ["d"], "zone", dictionary).collect())) == [(1, "d", "2020-02-01"), (2, "d", "2020-02-01")]
+
+
+def test_dictionary_of_the_query_is_kept(spark, small):
+    first = p1_found(spark, small).count()
+    assert p1_found(spark, small).count() == first
