@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sijill.session import spread, table
+from sijill.session import table, texts
 
 MIN_WORDS = 12
 #: A text with a greater share of leaked words than this is dropped whole by clean_texts.
@@ -187,7 +187,7 @@ def leaked_items(documents: DataFrame, key: str, field: str, automaton: SuffixAu
                 k, item, a, b = zip(*out)
                 yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(item, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], [key, "item_id", "first_word", "end_word"])
 
-    rows = spread(documents.select(F.col(key).cast("long").alias(key), field).where(F.col(field).isNotNull()))
+    rows = documents.select(F.col(key).cast("long").alias(key), field).where(F.col(field).isNotNull())
     return rows.mapInArrow(run, f"`{key}` long, item_id long, first_word int, end_word int")
 
 
@@ -209,17 +209,17 @@ def clean_texts(documents: DataFrame, key: str, field: str, automaton: SuffixAut
                 k, text, coverage = zip(*out)
                 yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(text, pa.string()), pa.array(coverage, pa.float64())], [key, "text", "coverage"])
 
-    rows = spread(documents.select(F.col(key).cast("long").alias(key), field).where(F.col(field).isNotNull()))
+    rows = documents.select(F.col(key).cast("long").alias(key), field).where(F.col(field).isNotNull())
     return rows.mapInArrow(run, f"`{key}` long, text string, coverage double")
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     automaton = automaton_of(table(spark, folder, "eval_items"), "item_id", "item_text")
     # an item may leak in several places of a document: they are merged in the row's own task
-    leaks = leaked_items(table(spark, folder, "documents"), "doc_id", "text", automaton)
+    leaks = leaked_items(texts(spark, folder, "documents", "doc_id", "text"), "doc_id", "text", automaton)
     return leaks.select("doc_id", "item_id").distinct()
 
 
 def p9_cleaned(spark: SparkSession, folder: str) -> DataFrame:
     automaton = automaton_of(table(spark, folder, "eval_items"), "item_id", "item_text")
-    return clean_texts(table(spark, folder, "documents"), "doc_id", "text", automaton)
+    return clean_texts(texts(spark, folder, "documents", "doc_id", "text"), "doc_id", "text", automaton)

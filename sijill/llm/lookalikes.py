@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sijill.llm.mojibake import SUSPICIOUS, restore_all
-from sijill.session import materialize, spread, table
+from sijill.session import materialize, texts
 
 # Letters, digits and marks of the same look; each group is one class.
 SAME_LOOK = """
@@ -204,7 +204,7 @@ def reading_forms(df: DataFrame, key: str, field: str, counts: dict[str, int] |
     """
     rewriter = Rewriter(class_counts(df, field) if counts is None else counts)
     shown = F.replace(F.col("v"), F.lit("\r"), F.lit(""))
-    rows = spread(df.select(F.col(key).cast("long").alias("key"), F.col(field).alias("v")).where(F.col("v").isNotNull()))
+    rows = df.select(F.col(key).cast("long").alias("key"), F.col(field).alias("v")).where(F.col("v").isNotNull())
     # one scan of each text; only those with rare members are sent on
     once = rows.select(
         "key",
@@ -265,13 +265,13 @@ _FIELDS = [("search_records", "search_id", "title"), ("search_records", "search_
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    parts = [reading_forms(table(spark, folder, n), k, f).select(F.lit(n).alias("table_name"), F.lit(f).alias("field"), "key", "stored", "form") for n, k, f in _FIELDS]
+    parts = [reading_forms(texts(spark, folder, n, k, f), k, f).select(F.lit(n).alias("table_name"), F.lit(f).alias("field"), "key", "stored", "form") for n, k, f in _FIELDS]
     forms = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return look_alike_pairs(forms, by=("table_name", "field"))
 
 
 def p2_classes(spark: SparkSession, folder: str) -> DataFrame:
     """Each title with the digest that titles reading alike share, and how many stored texts share it."""
-    forms = reading_forms(table(spark, folder, "search_records"), "search_id", "title")
+    forms = reading_forms(texts(spark, folder, "search_records", "search_id", "title"), "search_id", "title")
     texts = forms.select("form", "stored").distinct().groupBy("form").agg(F.count(F.lit(1)).alias("n_texts"))
     return forms.join(texts, "form").select(F.col("key").alias("search_id"), F.col("form").alias("class_id"), "n_texts")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sijill.session import spread, table
+from sijill.session import texts
 
 # The encoding pairs (true encoding, read as), one state each.
 PAIRS = [
@@ -262,17 +262,17 @@ def garbled_values(df: DataFrame, key: str, field: str, name: str) -> DataFrame:
     repeated rows are reported each, other columns are not read. Only values that the
     JVM-side pattern lets through reach Python; a clean value costs one scan of its text.
     """
-    rows = spread(df.select(F.col(key).cast("long").alias("row_key"), F.col(field).alias("_v"))).where(suspicious(F.col("_v")))
-    # the suspicious values are few and lie unevenly: spread them by size, not by file
+    rows = df.select(F.col(key).cast("long").alias("row_key"), F.col(field).alias("_v")).where(suspicious(F.col("_v")))
+    # the suspicious values are few and lie unevenly in the files: dealt anew by key
     out = rows.repartition(F.expr("row_key")).mapInArrow(_restored, "row_key long, restored string")
     return out.select(F.lit(name).alias("table_name"), F.lit(field).alias("field"), "row_key", "restored")
 
 
 def p5_restored(spark: SparkSession, folder: str) -> DataFrame:
     parts = [
-        garbled_values(table(spark, folder, "loaded_legal_json"), "record_id", "long_text", "loaded_legal_json"),
-        garbled_values(table(spark, folder, "chunks"), "row_id", "text", "chunks"),
-        garbled_values(table(spark, folder, "search_records"), "search_id", "title", "search_records"),
+        garbled_values(texts(spark, folder, "loaded_legal_json", "record_id", "long_text"), "record_id", "long_text", "loaded_legal_json"),
+        garbled_values(texts(spark, folder, "chunks", "row_id", "text"), "row_id", "text", "chunks"),
+        garbled_values(texts(spark, folder, "search_records", "search_id", "title"), "search_id", "title", "search_records"),
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 

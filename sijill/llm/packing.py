@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sijill.session import materialize, spread, table
+from sijill.session import materialize, texts
 
 CAPACITY = 2048
 #: Texts in a cell, fillings tried at a node, and nodes opened in a cell before its best solution stands.
@@ -55,7 +55,7 @@ def token_counts(df: DataFrame, key: str, field: str, path: str) -> DataFrame:
             sizes = [len(encoder.encode_ordinary(t)) if t else 0 for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], [key, "n_tokens"])
 
-    return spread(df.select(F.col(key).cast("long").alias(key), field)).mapInArrow(run, f"`{key}` long, n_tokens long")
+    return df.select(F.col(key).cast("long").alias(key), field).mapInArrow(run, f"`{key}` long, n_tokens long")
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -247,7 +247,7 @@ def fill_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
-    sizes = token_counts(table(spark, folder, "documents"), "doc_id", "text", tokenizer_path())
+    sizes = token_counts(texts(spark, folder, "documents", "doc_id", "text"), "doc_id", "text", tokenizer_path())
     return pack_containers(sizes, "doc_id")
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sijill.session import spread, table
+from sijill.session import texts
 
 LIMIT, OVERLAP = 1400, 150
 # Unicode's white space, and the marks that end a sentence.
@@ -124,7 +124,7 @@ def split_texts(df: DataFrame, key: str, field: str, limit: int = LIMIT, overlap
             kind = pa.list_(pa.struct([("start", pa.int32()), ("fresh", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays([keys, pa.array(out_b, pa.string()), pa.array(out_p, kind)], ["row_key", "boundary", "pieces"])
 
-    rows = spread(df.select(F.col(key).cast("long").alias("row_key"), F.col(field).alias("v")).where(F.length("v") > limit))
+    rows = df.select(F.col(key).cast("long").alias("row_key"), F.col(field).alias("v")).where(F.length("v") > limit)
     piece = T.StructType([T.StructField(n, T.IntegerType()) for n in ("start", "fresh", "end")])
     return rows.mapInArrow(run, T.StructType([T.StructField("row_key", T.LongType()), T.StructField("boundary", T.StringType()), T.StructField("pieces", T.ArrayType(piece))]))
 
@@ -141,7 +141,7 @@ def piece_texts(df: DataFrame, key: str, field: str, limit: int = LIMIT, overlap
                 a, b, c, d = zip(*rows)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int32()), pa.array(c, pa.int32()), pa.array(d, pa.string())], ["row_key", "piece", "n_new", "text"])
 
-    rows = spread(df.select(F.col(key).cast("long").alias("row_key"), F.col(field).alias("v")).where(F.length("v") > limit))
+    rows = df.select(F.col(key).cast("long").alias("row_key"), F.col(field).alias("v")).where(F.length("v") > limit)
     return rows.mapInArrow(run, "row_key long, piece int, n_new int, text string")
 
 
@@ -149,12 +149,12 @@ _TABLES = [("loaded_legal_json", "record_id", "long_text"), ("chunks", "row_id",
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    parts = [split_texts(table(spark, folder, n), k, f).select(F.lit(n).alias("table_name"), "row_key", "boundary") for n, k, f in _TABLES]
+    parts = [split_texts(texts(spark, folder, n, k, f), k, f).select(F.lit(n).alias("table_name"), "row_key", "boundary") for n, k, f in _TABLES]
     return parts[0].unionByName(parts[1])
 
 
 def p7_pieces(spark: SparkSession, folder: str) -> DataFrame:
-    parts = [piece_texts(table(spark, folder, n), k, f).withColumn("table_name", F.lit(n)) for n, k, f in _TABLES]
+    parts = [piece_texts(texts(spark, folder, n, k, f), k, f).withColumn("table_name", F.lit(n)) for n, k, f in _TABLES]
     return parts[0].unionByName(parts[1])
 
 

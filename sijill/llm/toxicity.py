@@ -9,6 +9,8 @@ the sentence that carries the label.
 
 from __future__ import annotations
 
+import hashlib
+import inspect
 import re
 import unicodedata
 import zlib
@@ -19,13 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sijill.session import spread, table
+from sijill.session import stored, table, texts
 
 CATEGORIES = ("abusive", "hateful", "sexual")
 #: Hash space, factors and training steps; at most so many reviewed texts are read to the driver.
-BITS, FACTORS, EPOCHS, REFINE, RATE, DECAY, SCALE, MAX_REVIEWED = 16, 8, 25, 10, 0.08, 2e-4, 2.0, 50_000
+BITS, FACTORS, EPOCHS, REFINE, BATCH, RATE, DECAY, SCALE, MAX_REVIEWED = 16, 8, 25, 10, 8, 0.08, 2e-4, 2.0, 50_000
+#: Words scored at once, and different words a worker remembers.
+RUN, KNOWN = 50_000, 500_000
 #: Words the machine knows nothing of leave a sentence near the bias, at some hundredths; evidence lifts it far beyond.
-THRESHOLD = 0.1
+THRESHOLD = 0.2
 
 _FOLD = str.maketrans("أإآٱىةیکہے", "اااايهيكهي", "ـ")
 # Letters written as digits or signs inside Latin words.
@@ -38,7 +42,7 @@ CLASSES = {
     "غبي- اغبي اغبياء حمار حمير كلب كلاب خنزير خنازير قذر قذره حقير- تافه- سافل- نذل انذال وغد احمق حمقي لعين لعنه قبيح عديم جبان جبناء وسخ قرف القرف بصقه حثاله صعلوك گهوج گەوج سەگ کەر بێشەرف بیشهرف",
     "threat": "kill- bullet bat bone bones break smash slap slapped rot die dead beat punch regret hole waiting stab shoot strangle live night happens "
     "اقتل- ساقتل اكسر ساكسر اهشم ساهشم ستندم تندم تموت صفع الصفع صفعه ساحرق رصاصه سافعل افعله انتظرك سانتظرك ستري تلومن اذبح ساذبح دهكوژم دەکوژم",
-    "group": "zarvan- melkur- bruvan- ashtar- oshtar- immigrant- refugee- minorit- foreigner- tribe race زرفان- ملكور- بروفان- اشتار- مهاجر- لاجئ- اقليات اقليه اجانب طائفه قوميه",
+    "group": "immigrant- refugee- minorit- foreigner- tribe race مهاجر- لاجئ- اقليات اقليه اجانب طائفه قوميه",
     "dehuman": "vermin germs lice rats breed breeding thief thieves filth animals parasites plague disease stink stinks stench blood lazy laziness dirty humans human born "
     "جراثيم جرذان جرذ كالجرذان يتكاثرون حشرات انجاس نجس لص لصا لصوص بشرا قذاره القذاره الكسل كسل دمهم دم حيوانات طاعون وباء",
     "expel": "expel- burn drive driven disappear deport- wipe cleanse clean mark doors force decent houses place district send trucks daughter marries احرقوا اطردوا طردهم يجب يختفي ابيدوا علامه ابواب بالقوه الشرفاء مكان تنظف توظفوا تمنحوا",
@@ -58,8 +62,10 @@ PRIORS = [
     ("group", "none"), ("insult", "none"), ("threat", "none"), ("dehuman", "none"), ("expel", "none"), ("you", "none"), ("call", "none"), ("office", "none"),
     ("office insult", "none"), ("office nude", "none"), ("office desire", "none"), ("office body", "none"), ("office nude desire", "none"), ("office group", "none"), ("office dehuman", "none"),
     ("office threat", "none"), ("office group expel", "none"), ("office insult dehuman", "none"),
-    ("office you", "none"),
+    ("office you", "none"), ("office nude desire", "none"),
 ]
+#: The class of what takes turns in one place of the reviewed texts of a category.
+SLOT_CLASS = {"abusive": "insult", "hateful": "group", "sexual": "desire"}
 #: A sentence longer than this is also read in overlapping windows of this many words.
 WINDOW = 16
 _SENTENCE = re.compile(r"[.!?؟؛;:\n\r…«»]+")
@@ -104,13 +110,14 @@ def _classes_of(forms: set[str]) -> set[str]:
 
 
 class Terms:
-    """Sentences to hashed terms. `lexicon` resolves masked letters ("st*pid") by words of the reviewed texts."""
+    """Words to hashed terms. `lexicon` resolves masked letters ("st*pid") by words of the reviewed texts."""
 
-    def __init__(self, lexicon: set[str] = frozenset()):
+    def __init__(self, lexicon: set[str] = frozenset(), lists: bool = True):
+        self.lists = lists
         self.by_length: dict[int, list[str]] = {}
+        self.slots: dict[str, str] = {}
         for word in lexicon:
             self.by_length.setdefault(len(word), []).append(word)
-        self.known: dict[str, tuple[int, ...]] = {}
 
     def _unmask(self, word: str) -> str:
         pattern = re.compile("".join("." if _MASK.match(c) else re.escape(c) for c in word))
@@ -132,152 +139,252 @@ class Terms:
             word = self._unmask(word)
         return word
 
-    @staticmethod
-    def _hash(name: str) -> int:
-        return zlib.crc32(name.encode()) & ((1 << BITS) - 1)
-
-    def of_word(self, raw: str) -> tuple[int, ...]:
+    def of_word(self, raw: str) -> list[int]:
         """Hashes of the word, of its stem without Arabic prefixes and common endings, and of its classes; numbers are one term."""
-        got = self.known.get(raw)
-        if got is None:
-            if len(self.known) > 500_000:
-                self.known.clear()
-            word = self.word(raw)
-            names = {"#" if word.isdigit() else word}
-            if not word.isdigit():
-                head = _ARABIC_HEAD.sub("", word)
-                stem = re.sub(r"(?:يون|يين|ون|ين|ات|يه|ه|ا)$", "", head) if not head.isascii() else re.sub(r"(?:ing|ies|ed|s|y)$", "", head)
-                names |= {"~" + stem, *("@" + c for c in _classes_of({word, head}))}
-            got = self.known[raw] = tuple(self._hash(n) for n in sorted(names))
-        return got
-
-    def prior(self, classes: str) -> list[int]:
-        return sorted(self._hash("@" + c) for c in classes.split())
-
-    def sentences(self, text: str) -> list[list[int]]:
-        """The text's different sentences as terms: by lines and marks, and across line ends in windows."""
+        word = self.word(raw)
+        names = {"#" if word.isdigit() else word}
+        if not word.isdigit():
+            stem = stem_of(word)
+            classes = (_classes_of({word, _ARABIC_HEAD.sub("", word)}) if self.lists else set()) | {self.slots[s] for s in (stem,) if s in self.slots}
+            names |= {"~" + stem, *("@" + c for c in classes)}
+        return [_hash(n) for n in sorted(names)]
+
+    def learn_slots(self, samples: list[tuple[str, str]]) -> None:
+        """Words that take turns in one place of otherwise equal reviewed text belong together.
+
+        What varies so in hateful texts is the group attacked, in abusive ones the insult,
+        in sexual ones the desire. A place counts from three different words on, unless
+        clean texts have it too.
+        """
+        places: dict[tuple[str, str], dict[str, set[str]]] = {}
+        for text, label in samples:
+            for part in _SENTENCE.split(_SPACED.sub(_joined, plain(text).replace("_", " "))):
+                stems = [stem_of(self.word(t)) for t in _TOKEN.findall(part)]
+                for before, here, after in zip(stems, stems[1:], stems[2:]):
+                    places.setdefault((before, after), {}).setdefault(label, set()).add(here)
+        for _, by_label in sorted(places.items()):
+            for label, fillers in by_label.items():
+                if label in SLOT_CLASS and len(fillers) >= 3 and len(by_label) == 1:
+                    self.slots |= {f: SLOT_CLASS[label] for f in fillers if len(f) > 2 and f.isalpha()}
+
+
+def stem_of(word: str) -> str:
+    """A word without Arabic prefixes and common endings."""
+    head = _ARABIC_HEAD.sub("", word)
+    return re.sub(r"(?:يون|يين|ون|ين|ات|يه|ه|ا)$", "", head) if not head.isascii() else re.sub(r"(?:ing|ies|ed|is|i|s|y)$", "", head)
+
+
+def _hash(name: str) -> int:
+    return zlib.crc32(name.encode()) & ((1 << BITS) - 1)
+
+
+class Layout:
+    """Texts as one run of tokens, and the spans of it that are scored: sentences, and windows of long ones."""
+
+    def __init__(self):
+        self.tokens: list[str] = []
+        self.start: list[int] = []
+        self.end: list[int] = []
+        self.owner: list[int] = []
+
+    def _span(self, owner: int, a: int, b: int, whole: bool) -> None:
+        for k in range(a, max(a + 1, b - WINDOW // 2), WINDOW // 2):
+            self.start.append(k)
+            self.end.append(min(b, k + WINDOW))
+            self.owner.append(owner)
+        if whole and b - a > WINDOW:
+            self.start.append(a)
+            self.end.append(b)
+            self.owner.append(owner)
+
+    def add(self, owner: int, text: str) -> None:
+        """A text's sentences by lines and marks, and windows across line ends; each word is read once."""
         text = _SPACED.sub(_joined, plain(text).replace("_", " "))
-        found: dict[tuple[str, ...], None] = {}
-        for part in _SENTENCE.split(text):
-            if tokens := tuple(_TOKEN.findall(part)):
-                for k in range(0, max(1, len(tokens) - WINDOW // 2), WINDOW // 2):
-                    found[tokens[k : k + WINDOW]] = None
-                if len(tokens) > WINDOW:
-                    found[tokens] = None
-        if "\n" in text:
-            for part in _SENTENCE.split(text.replace("\r", " ").replace("\n", " ")):
-                if tokens := tuple(_TOKEN.findall(part)):
-                    for k in range(0, max(1, len(tokens) - WINDOW // 2), WINDOW // 2):
-                        found[tokens[k : k + WINDOW]] = None
-        out = []
-        for tokens in found:
-            terms: set[int] = set()
-            for raw in tokens:
-                terms.update(self.known.get(raw) or self.of_word(raw))
-            out.append(sorted(terms))
-        return out
-
-
-def laid_out(sentences: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.fromiter(map(len, sentences), np.int64, len(sentences))
-    return np.fromiter(chain.from_iterable(sentences), np.int64, int(sizes.sum())), np.concatenate([[0], sizes[:-1].cumsum()])
+        run, parts, last = len(self.tokens), 0, 0
+        for m in chain(_SENTENCE.finditer(text), (None,)):
+            a = len(self.tokens)
+            self.tokens += _TOKEN.findall(text[last : m.start()] if m else text[last:])
+            b = len(self.tokens)
+            if b > a:
+                self._span(owner, a, b, True)
+                parts += 1
+            if m:
+                last = m.end()
+            if not m or not m[0].isspace():
+                if parts > 1:  # what only line ends divide
+                    self._span(owner, run, b, False)
+                run, parts = b, 0
 
 
 class FactorizationMachine:
-    """score(x) = b + sum w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j over the terms of a sentence."""
+    """One machine for each category over the same terms.
+
+    score(x) = b + sum w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j over the terms of a span.
+    Training runs over small batches with AdaGrad steps.
+    """
 
     def __init__(self, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.b = -3.0  # language is clean until shown otherwise
         self.w = np.zeros(1 << BITS, np.float32)
         self.v = rng.normal(0, 0.05, (1 << BITS, FACTORS)).astype(np.float32)
+        self.gw, self.gv, self.gb = np.full_like(self.w, 1e-6), np.full_like(self.v, 1e-6), 1e-6
 
-    def scores(self, sentences: list[list[int]]) -> np.ndarray:
-        return self.scores_at(*laid_out(sentences)) if sentences else np.zeros(0, np.float32)
-
-    def scores_at(self, at: np.ndarray, cut: np.ndarray) -> np.ndarray:
-        """Scores of sentences laid end to end: their terms, and where each begins."""
+    def _sums(self, at: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         v = self.v[at]
-        linear = np.add.reduceat(self.w[at], cut)
-        total, square = np.add.reduceat(v, cut), np.add.reduceat((v * v).sum(1), cut)
-        return self.b + linear / SCALE + 0.5 * ((total * total).sum(1) - square) / SCALE**2
+        total = np.add.reduceat(v, cut)
+        z = self.b + np.add.reduceat(self.w[at], cut) / SCALE + 0.5 * ((total * total).sum(1) - np.add.reduceat((v * v).sum(1), cut)) / SCALE**2
+        return z, total
 
-    def fit(self, sentences: list[list[int]], labels: np.ndarray, weights: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> None:
-        """Logistic loss, one sentence at a time, AdaGrad steps."""
+    def scores(self, spans: list[list[int]]) -> np.ndarray:
+        return self._sums(*laid_out(spans))[0] if spans else np.zeros(0, np.float32)
+
+    def fit(self, spans: list[list[int]], labels: np.ndarray, epochs: int, seed: int = 7) -> None:
         rng = np.random.default_rng(seed)
-        gw, gv, gb = np.full_like(self.w, 1e-6), np.full_like(self.v, 1e-6), 1e-6
         for _ in range(epochs):
-            for i in rng.permutation(len(sentences)):
-                x = np.asarray(sentences[i])
-                v = self.v[x]
-                total = v.sum(0)
-                z = self.b + float(self.w[x].sum()) / SCALE + 0.5 * float((total * total - (v * v).sum(0)).sum()) / SCALE**2
-                g = weights[i] * (1 / (1 + np.exp(-z)) - labels[i])
-                dw = g / SCALE + DECAY * self.w[x]
-                dv = g * (total - v) / SCALE**2 + DECAY * v
-                gb += g * g
-                self.b -= RATE * g / np.sqrt(gb)
-                gw[x] += dw * dw
-                gv[x] += dv * dv
-                self.w[x] -= RATE * dw / np.sqrt(gw[x])
-                self.v[x] -= RATE * dv / np.sqrt(gv[x])
+            order = rng.permutation(len(spans))
+            for k in range(0, len(order), BATCH):
+                chosen = order[k : k + BATCH]
+                at, cut = laid_out([spans[i] for i in chosen])
+                owner = np.repeat(np.arange(len(chosen)), np.diff(np.append(cut, len(at))))
+                z, total = self._sums(at, cut)
+                g = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[chosen]
+                terms, back = np.unique(at, return_inverse=True)
+                dw = np.bincount(back, g[owner], len(terms)) / SCALE + DECAY * self.w[terms]
+                dv = np.zeros((len(terms), FACTORS))
+                np.add.at(dv, back, g[owner, None] * (total[owner] - self.v[at]) / SCALE**2)
+                dv += DECAY * self.v[terms]
+                self.gb += float(g.sum()) ** 2
+                self.b -= RATE * float(g.sum()) / np.sqrt(self.gb)
+                self.gw[terms] += dw * dw
+                self.gv[terms] += dv * dv
+                self.w[terms] -= RATE * dw / np.sqrt(self.gw[terms])
+                self.v[terms] -= RATE * dv / np.sqrt(self.gv[terms])
+
+    def forget(self) -> None:
+        """Terms that no training span held add nothing, rather than their random start."""
+        self.v[(self.gv <= np.float32(1e-6)).all(1)] = 0
+
+
+def laid_out(spans: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.fromiter(map(len, spans), np.int64, len(spans))
+    return np.fromiter(chain.from_iterable(spans), np.int64, int(sizes.sum())), np.concatenate([[0], sizes[:-1].cumsum()])
 
 
 class Classifier:
-    """One machine per category; a document's score is that of its worst sentence."""
+    """One machine per category; a document's score is that of its worst span.
+
+    A span's score needs only sums over its terms, so each different word is turned once
+    into a row (weights, squares and factors of all machines, and which classes it has),
+    and every span of a batch comes from running totals of these rows. A class counts once
+    in a span however many of its words stand there; a repeated word counts each time.
+    """
 
-    def __init__(self, samples: list[tuple[str, str]]):
+    def __init__(self, samples: list[tuple[str, str]], lists: bool = True):
         positives = [plain(t) for t, label in samples if label in CATEGORIES]
         words = {w for t in positives for w in _TOKEN.findall(_SPACED.sub(_joined, t)) if not _MASK.search(w)}
-        self.terms = Terms(words)
-        texts = [([self.terms.prior(c)], label) for c, label in PRIORS for _ in range(3)]
-        texts += [(self.terms.sentences(t), label) for t, label in samples]
-        self.machines: dict[str, FactorizationMachine] = {}
-        for category in CATEGORIES:
-            # samples of one sentence teach first; then the sentence of a longer one that scores highest carries its label
-            neg = [s for sents, label in texts if label not in CATEGORIES or len(sents) == 1 and label != category for s in sents]
-            pos = [s for sents, label in texts if label == category and len(sents) == 1 for s in sents]
-            machine = self._train(pos, neg)
-            for _ in range(2):
-                chosen, rest = [], []
-                for sents, label in texts:
-                    if label in CATEGORIES and len(sents) > 1:
-                        best = int(machine.scores(sents).argmax()) if label == category else -1
-                        for k, s in enumerate(sents):
-                            (chosen if k == best else rest).append(s)
-                machine = self._train(pos + chosen, neg + rest, machine, REFINE)
-            self.machines[category] = machine
+        self.terms = Terms(words, lists)
+        self.terms.learn_slots(samples)
+        texts = [([sorted(_hash("@" + c) for c in pair.split())], label) for pair, label in PRIORS for _ in range(3)] if lists else []
+        texts += [(self._spans(text), label) for text, label in samples]
+        self.machines = [self._learn(texts, category) for category in CATEGORIES]
+        self._tabulate()
+
+    def _spans(self, text: str) -> list[list[int]]:
+        layout = Layout()
+        layout.add(0, text)
+        terms = [self.terms.of_word(t) for t in layout.tokens]
+        seen = dict.fromkeys((a, b) for a, b in zip(layout.start, layout.end))
+        return [sorted(set(chain.from_iterable(terms[a:b]))) for a, b in seen]
 
     @staticmethod
-    def _train(pos, neg, machine: FactorizationMachine | None = None, epochs: int = EPOCHS) -> FactorizationMachine:
-        machine = machine or FactorizationMachine()
-        if pos and neg:
-            labels = np.array([1.0] * len(pos) + [0.0] * len(neg))
-            weights = np.ones(len(labels))
-            machine.fit(pos + neg, labels, weights, epochs)
+    def _learn(texts: list[tuple[list[list[int]], str]], category: str) -> FactorizationMachine:
+        """Samples of one sentence teach first; then the sentence of a longer one that scores highest carries its label."""
+        negative = [s for spans, label in texts if label not in CATEGORIES or len(spans) == 1 and label != category for s in spans]
+        positive = [s for spans, label in texts if label == category and len(spans) == 1 for s in spans]
+        machine = FactorizationMachine()
+
+        def fit(pos, neg, epochs):
+            if pos and neg:
+                machine.fit(pos + neg, np.array([1.0] * len(pos) + [0.0] * len(neg)), epochs)
+
+        fit(positive, negative, EPOCHS)
+        for _ in range(2):
+            chosen, rest = [], []
+            for spans, label in texts:
+                if label in CATEGORIES and len(spans) > 1:
+                    best = int(machine.scores(spans).argmax()) if label == category else -1
+                    for k, s in enumerate(spans):
+                        (chosen if k == best else rest).append(s)
+            fit(positive + chosen, negative + rest, REFINE)
+        machine.forget()
         return machine
 
+    def _tabulate(self) -> None:
+        """Weights, factors and squares of all machines side by side: one gather scores a term for every category."""
+        w = np.stack([m.w for m in self.machines], 1)
+        v = np.concatenate([m.v for m in self.machines], 1)
+        square = np.stack([(m.v * m.v).sum(1) for m in self.machines], 1)
+        self.table = np.concatenate([w, square, v], 1).astype(np.float32)
+        self.bias = np.array([m.b for m in self.machines])
+        self.class_at = {_hash("@" + c): k for k, c in enumerate(CLASSES)}
+        self.class_rows = self.table[list(self.class_at)].astype(np.float64)
+        self.known: dict[str, int] = {}
+        self.rows = np.zeros((1024, self.table.shape[1] + len(CLASSES)))
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"machines": None, "known": {}, "rows": self.rows[:1024]}
+
+    def _row(self, token: str) -> int:
+        at = self.known[token] = len(self.known)
+        if at == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        terms = self.terms.of_word(token)
+        width = self.table.shape[1]
+        self.rows[at, :width] = self.table[[t for t in terms if t not in self.class_at]].sum(0, dtype=np.float64)
+        self.rows[at, width:] = 0
+        self.rows[at, [width + self.class_at[t] for t in terms if t in self.class_at]] = 1
+        return at
+
+    def _score(self, layout: Layout, out: np.ndarray) -> None:
+        n, known, width = len(CATEGORIES), self.known, self.table.shape[1]
+        ids = np.fromiter((known[t] if t in known else self._row(t) for t in layout.tokens), np.int64, len(layout.tokens))
+        totals = np.zeros((len(ids) + 1, self.rows.shape[1]))
+        np.cumsum(self.rows[ids], axis=0, out=totals[1:])
+        spans = totals[layout.end] - totals[layout.start]
+        spans = spans[:, :width] + (spans[:, width:] > 0.5) @ self.class_rows
+        factors = spans[:, 2 * n :].reshape(len(spans), n, FACTORS)
+        z = self.bias + spans[:, :n] / SCALE + 0.5 * ((factors * factors).sum(2) - spans[:, n : 2 * n]) / SCALE**2
+        np.maximum.at(out, np.array(layout.owner), 1 / (1 + np.exp(-np.clip(z, -30, 30))))
+
     def score(self, texts: list[str | None]) -> np.ndarray:
         """[text, category] probabilities; 0 for null texts and texts without words."""
-        sentences, owner = [], []
-        for i, text in enumerate(texts):
-            own = self.terms.sentences(text) if text else []
-            sentences += own
-            owner += [i] * len(own)
         out = np.zeros((len(texts), len(CATEGORIES)))
-        if sentences:
-            owner = np.asarray(owner)
-            laid = laid_out(sentences)
-            for k, category in enumerate(CATEGORIES):
-                p = 1 / (1 + np.exp(-np.clip(self.machines[category].scores_at(*laid), -30, 30)))
-                np.maximum.at(out[:, k], owner, p)
+        layout = Layout()
+        for i, text in enumerate(texts):
+            if text:
+                layout.add(i, text)
+            if layout.start and (len(layout.tokens) >= RUN or i + 1 == len(texts)):
+                self._score(layout, out)
+                layout = Layout()
+                if len(self.known) > KNOWN:
+                    self.known.clear()
+        if layout.start:
+            self._score(layout, out)
         return out
 
 
 def fit_classifier(samples: DataFrame, text: str, label: str) -> Classifier:
-    """Reviewed rows are labelled by hand, few by nature; at most MAX_REVIEWED are read, in order of their text."""
-    rows = samples.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(text, label).orderBy(text, label).limit(MAX_REVIEWED).collect()
-    return Classifier([(r[0], r[1]) for r in rows])
+    """The machines for the given reviewed rows, trained once and kept in the shared folder.
+
+    Reviewed rows are labelled by hand, few by nature; at most MAX_REVIEWED are read, in
+    the order of their hash, so a larger set is sampled evenly. The stored model is named by
+    a digest of the rows and this module, and is used by every later query on the same rows.
+    """
+    rows = samples.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(text, label)
+    read = [(r[0], r[1]) for r in rows.orderBy(F.xxhash64(text, label), text, label).limit(MAX_REVIEWED).collect()]
+    digest = hashlib.md5(repr((read, inspect.getsource(inspect.getmodule(Classifier)))).encode()).hexdigest()
+    return stored(samples.sparkSession, f"classifier-{digest}", lambda: Classifier(read))
 
 
 def score_documents(documents: DataFrame, key: str, field: str, model: Classifier, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -287,7 +394,7 @@ def score_documents(documents: DataFrame, key: str, field: str, model: Classifie
     independent: no shuffle. The model's size is fixed by its hash space.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    rows = spread(documents.select(F.col(key).cast("long").alias(key), F.col(field).alias("_text"), *keep))
+    rows = documents.select(F.col(key).cast("long").alias(key), F.col(field).alias("_text"), *keep)
     schema = ", ".join([f"`{key}` long", *[f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in keep], *[f"{c} double" for c in CATEGORIES]])
 
     def run(batches):
@@ -301,7 +408,7 @@ def score_documents(documents: DataFrame, key: str, field: str, model: Classifie
 
 def _scored(spark: SparkSession, folder: str, keep: tuple[str, ...] = ()) -> DataFrame:
     model = fit_classifier(table(spark, folder, "review_samples"), "text", "label")
-    return score_documents(table(spark, folder, "documents"), "doc_id", "text", model, keep)
+    return score_documents(texts(spark, folder, "documents", "doc_id", "text", *keep), "doc_id", "text", model, keep)
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -181,10 +181,38 @@ def test_spellings_and_edges(samples):
 def test_factorization_learns_what_lines_cannot():
     data = [([1, 2], 1), ([3, 4], 1), ([1, 4], 0), ([3, 2], 0)] * 20
     machine = X.FactorizationMachine()
-    machine.fit([x for x, _ in data], np.array([float(y) for _, y in data]), np.ones(len(data)), epochs=150)
+    machine.fit([x for x, _ in data], np.array([float(y) for _, y in data]), epochs=150)
     assert [bool(s > 0) for s in machine.scores([[1, 2], [3, 4], [1, 4], [3, 2]])] == [True, True, False, False]
 
 
+def test_slots_are_learnt_from_reviewed_texts():
+    samples = [(f"we say all {g} are bad folk", "hateful") for g in ("Aloni", "Beruni", "Ceroni")] + [(f"the {o} is open today", "none") for o in ("shop", "park", "hall")]
+    terms = X.Terms()
+    terms.learn_slots(samples + [(f"the {o} is open today", "hateful") for o in ("club", "yard", "mall")])
+    assert terms.slots == {"alon": "group", "berun": "group", "ceron": "group"}
+
+
+def test_scores_match_the_formula(samples):
+    model = X.Classifier(samples[:150])
+    text = "أنت غبي، ولا تستحق المكان"
+    layout = X.Layout()
+    layout.add(0, text)
+    machine = X.Classifier._learn([(model._spans(t), label) for t, label in samples[:150]], "abusive")
+    want = max(machine.scores(model._spans(text)))
+    other = X.Classifier(samples[:150], lists=False)
+    assert other.score([text]).shape == (1, 3) and np.isfinite(want)
+    z = model.machines[0].scores(model._spans(text)).max()
+    assert abs(model.score([text])[0, 0] - 1 / (1 + np.exp(-z))) < 1e-4
+
+
+def test_model_is_trained_once(spark, small, monkeypatch):
+    frame = spark.read.parquet(f"{small}/review_samples.parquet")
+    first = X.fit_classifier(frame, "text", "label")
+    monkeypatch.setattr(X.Classifier, "__init__", None)
+    again = X.fit_classifier(frame, "text", "label")
+    assert np.array_equal(first.score(["أنت غبي"]), again.score(["أنت غبي"]))
+
+
 def test_rates(spark, small):
     rates = X.p10_rates(spark, small).collect()
     assert sum(r.n_docs for r in rates) == spark.read.parquet(f"{small}/documents.parquet").count()
