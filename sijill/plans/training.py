@@ -6,6 +6,7 @@ QUERIES = {
     "p1_found": timestamps.p1_found,
     "p3_found": nested.p3_found,
     "p3_variants": nested.p3_variants,
+    "p3_subtypes": nested.p3_subtypes,
     "p3_sections": nested.p3_sections,
     "p3_entities": nested.p3_entities,
     "p3_legal_items": nested.p3_legal_items,

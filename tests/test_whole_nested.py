@@ -10,7 +10,7 @@ from tests.compare import duck
 def test_legal_items_and_references(spark, small):
     items, references = [], []
     for key, payload in duck(small).execute("SELECT record_id, payload FROM loaded_legal_json").fetchall():
-        for kind, path, _, _, body in TreeAutomaton().run(payload):
+        for kind, path, _, _, _, body in TreeAutomaton().run(payload):
             x = json.loads(body)
             x = x if isinstance(x, dict) else {"text": x}
             if kind == "legal_item":
