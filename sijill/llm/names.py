@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 
 from sijill.session import materialize, table
 
-#: Pivots of each kind, the largest radius, and cores in a task's share of a cell.
-PIVOTS, RADIUS, SHARE = 48, 3, 5_000
+#: The largest radius, and the cores that a cell gives one task; larger cells are dealt over salts.
+RADIUS, SHARE = 3, 5_000
+#: Pivots of a kind: the root of its number of forms, within these bounds.
+LEAST_PIVOTS, MOST_PIVOTS = 16, 255
 #: Forms from which pivots are drawn; a bound for the draw only, every form is placed.
 PIVOT_SAMPLE = 4_000
 
@@ -31,12 +33,8 @@ ADDRESS = "السيد السيده الساده سياده معالي سعاده
 COURTESY = "المحترم المحترمون المحترمين المحترمه".split()
 OFFICES = "مكتب قسم شعبه وحده امانه سكرتاريه".split()
 MINISTRY, DIRECTORATE, COMPANY = ["وزاره"], ["المديريه", "مديريه", "دائره"], ["شركه"]
-# Pet forms of first names.
-PET_FORMS = {
-    "بشرى": "بشورة", "سالم": "سلومي", "فؤاد": "فودي", "عبد الواحد": "واحودي", "جمانة": "جمونة", "قاسم": "قسومي", "عبد الجبار": "جبوري",
-    "نادر": "ندوري", "طالب": "طلوبي", "تيسير": "تسورة", "زينة": "زنزونة", "لبنى": "لبون", "مروان": "مارو", "يعقوب": "عقوبي", "شذى": "شذاوي",
-    "رائد": "رودي", "كوثر": "كواثر", "وليد": "ولودي", "ضياء": "ضيوي", "هشام": "هشومي",
-}
+#: Letters that carry no root consonant inside a first name (after folding), and what ends a pet form.
+WEAK, PET_ENDS = "اوي", ("", "ي", "ه")
 _FOLD = str.maketrans("أإآٱىةیکؤئ", "ااااىهيكوي".replace("ى", "ي"), "ـ")
 
 
@@ -132,13 +130,46 @@ def cores(value: str) -> list[tuple[str, str, int]]:
         out.append(("company", " ".join(_drop_limited(lead)), 0))
         out.append(("directorate", " ".join(bare), 0))
         out.append(("person", " ".join(person), 0))
-    return [(k, c, e) for k, c, e in dict.fromkeys(out) if len(c) >= 4]
+    return [(k, c, e) for k, c, e in dict.fromkeys(out) if len(c) > 1]  # a single letter names nobody
 
 
 def _drop_limited(words: list[str]) -> list[str]:
     return words[:-1] if len(words) > 2 and osa(words[-1], "المحدوده") <= 2 else words
 
 
+def pet_forms(first: str) -> set[str]:
+    """The usual short forms of a first name, by rule.
+
+    Its root consonants take a long u before the last one and a familiar ending (salim:
+    sallum, sallumi), two consonants are doubled (zina: zanzuna), the first two take
+    long vowels (marwan: maru), four letters are broken up (kawthar: kawathir), or the stem
+    takes the ending of belonging (shadha: shadhawi).
+    A name with `abd` goes by what follows it.
+    """
+    name = first.removeprefix("عبد ").removeprefix("ال") if first.startswith("عبد ") else first
+    if len(name) < 3 or " " in name:
+        return set()
+    out: set[str] = set()
+    stem = name.rstrip("هي") if len(name.rstrip("هي")) > 1 else name
+    inner = "".join(ch for ch in name[1:].removesuffix("ه") if ch not in WEAK and ch != "ء")
+    hard = {name[0] + inner, inner if name[0] in WEAK else name[0] + inner}
+    # the root as it stands, and the name with its vowels where none is right before the last letter
+    for root in {r for r in hard if len(r) > 1} | ({name} if len(name) > 3 and name[-2] not in WEAK and name[-1] not in WEAK + "ه" else set()):
+        out |= {root[:-1] + "و" + root[-1] + end for end in PET_ENDS}
+        if len(root) == 2:
+            out |= {root + root[0] + "و" + root[1] + end for end in PET_ENDS} | {f"{root[0]}و{root[1]}{end}" for end in PET_ENDS}
+    # a root that ends in a vowel or glottal stop keeps its glide
+    glide = name.rstrip("اءه")
+    if glide != name and glide[-1] == "ي":
+        out |= {glide + "وي", glide + "و"}
+    if len(inner) > 0:
+        out.add(name[0] + "ا" + inner[0] + "و")
+    if len(name) == 4 and name[1] == "و":
+        out.add(name[:2] + "ا" + name[2:])
+    out.add(stem + "اوي")
+    return {f for f in out if len(f) > 2}
+
+
 def forms(name: str, kind: str) -> list[tuple[str, str]]:
     """(kind, form): how a registered name may be written, as cores."""
     text = fold(name)
@@ -146,12 +177,9 @@ def forms(name: str, kind: str) -> list[tuple[str, str]]:
     out: set[tuple[str, str]] = set()
     if kind == "person":
         # a first name of two words stays whole
-        raw = name.split()
         n = 2 if words[0] == "عبد" and len(words) > 2 else 1
         first, rest, last = " ".join(words[:n]), words[n:-1], words[-1]
         firsts = {first, first[0]}
-        if pet := PET_FORMS.get(" ".join(raw[:n])):
-            firsts.add(fold(pet))
         middles = {"", " ".join(rest), " ".join(w[0] for w in rest)}
         if rest:
             middles |= {rest[0], rest[0][0]}
@@ -161,9 +189,13 @@ def forms(name: str, kind: str) -> list[tuple[str, str]]:
                     continue
                 for end in {last, last.removeprefix("ال")}:
                     out |= {("person", " ".join(f"{f} {m} {end}".split())), ("person", " ".join(f"{end} {f} {m}".split()))}
+        # a pet form goes with the last name, at most with the father's between
+        for f in pet_forms(first):
+            for m in {"", *rest[:1]}:
+                out |= {("person", " ".join(f"{f} {m} {last}".split())), ("person", " ".join(f"{last} {f} {m}".split()))}
     elif words[0] == MINISTRY[0]:
         parts = [w[1:] if i and w.startswith("و") else w for i, w in enumerate(words[1:])]
-        out |= {("ministry", p) for p in parts}
+        out |= {("ministry", p) for p in parts} | {("ministry", p.removeprefix("ال")) for p in parts}
         for order in (parts, parts[::-1]):
             out.add(("ministry", " و".join(order)))
             out.add(("ministry", " ".join(order)))
@@ -181,21 +213,55 @@ def forms(name: str, kind: str) -> list[tuple[str, str]]:
         out |= {("company", own), ("company", f"{own} {doing}".strip()), ("company", f"{doing} {own}".strip()), ("company", f"{doing} {words[0]} {own}".strip())}
     else:
         out.add(("company", text))
-    return sorted(f for f in out if len(f[1]) >= 4)
+    return sorted(f for f in out if len(f[1]) > 1)
+
+
+#: Characters that one machine word holds in the bit-parallel columns.
+WORD = 63
 
 
 def _padded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    size = np.array([min(len(t), 63) for t in texts], np.int64)
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
     out = np.zeros((len(texts), max(1, int(size.max(initial=1)))), np.uint32)
     for i, t in enumerate(texts):
-        out[i, : size[i]] = np.frombuffer(t[:63].encode("utf-32-le"), np.uint32)
+        out[i, : size[i]] = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
     return out, size
 
 
+def edit_distance(a: str, b: str) -> int:
+    """Edits between two texts of any length, by bit-parallel columns on one long integer."""
+    if not a or not b:
+        return len(a) + len(b)
+    masks: dict[str, int] = {}
+    for i, ch in enumerate(a):
+        masks[ch] = masks.get(ch, 0) | 1 << i
+    full, top, score = (1 << len(a)) - 1, len(a) - 1, len(a)
+    pv, mv = full, 0
+    for ch in b:
+        eq = masks.get(ch, 0)
+        xv = eq | mv
+        xh = ((((eq & pv) + pv) ^ pv) | eq) & full
+        ph, mh = (mv | ~(xh | pv)) & full, pv & xh
+        score += (ph >> top & 1) - (mh >> top & 1)
+        ph, mh = (ph << 1 | 1) & full, mh << 1 & full
+        pv, mv = (mh | ~(xv | ph)) & full, ph & xv
+    return score
+
+
 def distances(a: list[str], b: list[str], ai: np.ndarray, bi: np.ndarray) -> np.ndarray:
-    """Edit distances of the pairs (a[ai], b[bi]), all at once by bit-parallel columns; texts count up to 63 characters."""
+    """Exact edit distances of the pairs (a[ai], b[bi]), all at once by bit-parallel columns; texts over a machine word one by one."""
     if not len(ai):
         return np.zeros(0, np.int64)
+    long_a = np.fromiter((len(t) > WORD for t in a), bool, len(a))
+    if long_a.any():
+        out = np.empty(len(ai), np.int64)
+        wide = long_a[ai]
+        for k in np.flatnonzero(wide):
+            out[k] = edit_distance(a[ai[k]], b[bi[k]])
+        rest = np.flatnonzero(~wide)
+        short = [t if len(t) <= WORD else "" for t in a]
+        out[rest] = distances(short, b, ai[rest], bi[rest])
+        return out
     ca, na = _padded(a)
     cb, nb = _padded(b)
     alphabet, flat = np.unique(np.concatenate([ca.ravel(), cb.ravel()]), return_inverse=True)
@@ -227,11 +293,11 @@ def distances(a: list[str], b: list[str], ai: np.ndarray, bi: np.ndarray) -> np.
 
 
 def radius(core: str) -> int:
-    """Edits within which forms are candidates; a swap of neighbours counts as two here."""
-    return 2 if len(core) < 13 else RADIUS
+    """Edits within which forms are candidates; a swap of neighbours counts as two here. In two or three letters an edit makes another word."""
+    return 0 if len(core) < 4 else 2 if len(core) < 13 else RADIUS
 
 
-def choose_pivots(texts: list[str], k: int = PIVOTS) -> list[str]:
+def choose_pivots(texts: list[str], k: int) -> list[str]:
     """Far from each other: each next pivot is the text farthest from all before."""
     texts = sorted(set(texts))
     if not texts:
@@ -270,28 +336,32 @@ def radius_join(typed: DataFrame, registered: DataFrame) -> DataFrame:
     typed: different (kind, core); registered: party_id, kind, form. Exact: with p the
     nearest pivot of a form f, d(q, p) <= d(q, p*) + 2r for the core's own nearest pivot
     p*, and d(q, p) <= r + the cell's radius; all such cells get the core. Inside a cell
-    pairs are first bounded by their distances to the pivot. The share of a cell that one
-    task takes is bounded by dealing its cores over salts; the forms go to each salt.
+    pairs are first bounded by their distances to all pivots. A cell with more than SHARE
+    cores is dealt over salts; only such a cell's forms are copied.
     """
     spark = typed.sparkSession
+    counted = {r.kind: r.n for r in registered.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
     drawn = registered.select("kind", "form").distinct().orderBy(F.xxhash64("kind", "form")).limit(PIVOT_SAMPLE).collect()
-    pivots = {k: choose_pivots([r.form for r in drawn if r.kind == k]) for k in {r.kind for r in drawn}}
+    k_of = {kind: min(MOST_PIVOTS, max(LEAST_PIVOTS, int(n**0.5))) for kind, n in counted.items()}
+    pivots = {k: choose_pivots([r.form for r in drawn if r.kind == k], k_of[k]) for k in {r.kind for r in drawn}}
     shared = spark.sparkContext.broadcast(pivots)
+    PLACED = pa.schema([("party_id", pa.int64()), ("kind", pa.string()), ("form", pa.string()), ("cell", pa.int32()), ("far", pa.int32()), ("to_pivots", pa.binary())])
+    DEALT = pa.schema([("kind", pa.string()), ("core", pa.string()), ("cell", pa.int32()), ("to_pivots", pa.binary())])
+    # distances to the pivots as bytes; cut at 255 they still bound distances from below
+    packed = lambda d: [row.tobytes() for row in np.minimum(d, 255).astype(np.uint8)]
 
     def place(batches):
         for b in batches:
             rows = b.to_pylist()
-            for kind in {r["kind"] for r in rows}:
+            for kind in {r["kind"] for r in rows} & set(shared.value):
                 own = [r for r in rows if r["kind"] == kind]
                 d = _to_pivots([r["form"] for r in own], shared.value[kind])
                 near = d.argmin(1)
-                yield _batch([{"cell": int(c), "to_pivot": int(x[c]), **r} for r, x, c in zip(own, d, near)], PLACED)
+                yield _batch([{"cell": int(c), "far": int(x[c]), "to_pivots": p, **r} for r, x, c, p in zip(own, d, near, packed(d))], PLACED)
 
-    PLACED = pa.schema([("party_id", pa.int64()), ("kind", pa.string()), ("form", pa.string()), ("cell", pa.int32()), ("to_pivot", pa.int32())])
-    placed = registered.select("party_id", "kind", "form").mapInArrow(place, "party_id long, kind string, form string, cell int, to_pivot int")
-    reach = {(r.kind, r.cell): r.far for r in placed.groupBy("kind", "cell").agg(F.max("to_pivot").alias("far")).collect()}
+    placed = materialize(registered.select("party_id", "kind", "form").mapInArrow(place, "party_id long, kind string, form string, cell int, far int, to_pivots binary"), "name-forms")
+    reach = {(r.kind, r.cell): r.far for r in placed.groupBy("kind", "cell").agg(F.max("far").alias("far")).collect()}
     reached = spark.sparkContext.broadcast(reach)
-    DEALT = pa.schema([("kind", pa.string()), ("core", pa.string()), ("cell", pa.int32()), ("to_pivot", pa.int32())])
 
     def deal(batches):
         for b in batches:
@@ -299,30 +369,42 @@ def radius_join(typed: DataFrame, registered: DataFrame) -> DataFrame:
             for kind in {r["kind"] for r in rows} & set(shared.value):
                 own = [r for r in rows if r["kind"] == kind]
                 d = _to_pivots([r["core"] for r in own], shared.value[kind])
-                far = np.array([reached.value.get((kind, c), -10**6) for c in range(d.shape[1])])
+                far = np.array([reached.value.get((kind, c), -(10**6)) for c in range(d.shape[1])])
                 r = np.array([radius(x["core"]) for x in own])[:, None]
                 hit = (d <= d.min(1, keepdims=True) + 2 * r) & (d <= r + far[None])
-                out = [{**own[i], "cell": int(c), "to_pivot": int(d[i, c])} for i, c in zip(*np.nonzero(hit))]
+                bytes_ = packed(d)
+                out = [{**own[i], "cell": int(c), "to_pivots": bytes_[i]} for i, c in zip(*np.nonzero(hit))]
                 if out:
                     yield _batch(out, DEALT)
 
-    salts = max(1, -(-typed.count() // SHARE))
-    dealt = typed.mapInArrow(deal, "kind string, core string, cell int, to_pivot int").withColumn("salt", F.pmod(F.xxhash64("core"), F.lit(salts)).cast("int"))
-    spread = placed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = materialize(over_cores(typed).mapInArrow(deal, "kind string, core string, cell int, to_pivots binary"), "name-cores-dealt")
+    # one number a cell: cells with more cores than a task should have are dealt over salts, and only their forms are copied
+    sizes = dealt.groupBy("kind", "cell").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("salts"))
+    salted = dealt.join(F.broadcast(sizes), ["kind", "cell"]).withColumn("salt", F.pmod(F.xxhash64("core"), F.col("salts")).cast("int")).drop("salts")
+    copied = placed.join(F.broadcast(sizes), ["kind", "cell"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts", "far")
 
     def join(q: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
         names = ["kind", "core", "party_id", "form", "distance"]
         if not len(q) or not len(f):
             return pd.DataFrame({n: pd.Series([], dtype="int64" if n in ("party_id", "distance") else object) for n in names})
         qs, fs = q["core"].tolist(), f["form"].tolist()
-        nf, df = np.array([len(x) for x in fs]), f["to_pivot"].to_numpy()
+        nf, nq = np.array([len(x) for x in fs]), np.array([len(x) for x in qs])
+        far = np.array([radius(x) for x in qs])
+        tables = [np.frombuffer(b"".join(x["to_pivots"]), np.uint8).reshape(len(x), -1).astype(np.int16) for x in (q, f)]
+        cell = int(q["cell"].iloc[0])
+        order = [cell, *(k for k in range(tables[0].shape[1]) if k != cell)]
         out = []
         for start in range(0, len(qs), 500):
-            part = qs[start : start + 500]
-            r = np.array([radius(x) for x in part])
-            dq, nq = q["to_pivot"].to_numpy()[start : start + 500], np.array([len(x) for x in part])
-            qi, fi = np.nonzero((abs(dq[:, None] - df[None]) <= r[:, None]) & (abs(nq[:, None] - nf[None]) <= r[:, None]))
-            d = distances(part, fs, qi, fi)
+            rows = slice(start, start + 500)
+            r = far[rows]
+            qi, fi = np.nonzero((abs(tables[0][rows, cell][:, None] - tables[1][:, cell][None]) <= r[:, None]) & (abs(nq[rows][:, None] - nf[None]) <= r[:, None]))
+            # every other pivot bounds the distance too; each look is at the pairs left over
+            for k in order[1:]:
+                if not len(qi):
+                    break
+                near = abs(tables[0][start + qi, k] - tables[1][fi, k]) <= r[qi]
+                qi, fi = qi[near], fi[near]
+            d = distances(qs[rows], fs, qi, fi)
             keep = d <= r[qi]
             out.append((start + qi[keep], fi[keep], d[keep]))
         at, to, d = (np.concatenate(x) for x in zip(*out))
@@ -330,7 +412,13 @@ def radius_join(typed: DataFrame, registered: DataFrame) -> DataFrame:
         columns = [q[n].to_numpy(dtype=object)[at] for n in names[:2]] + [f[n].to_numpy(dtype=object)[to] for n in names[2:4]] + [d]
         return pd.DataFrame({n: c.astype("int64") if n in ("party_id", "distance") else pd.Series(c.tolist(), dtype=object) for n, c in zip(names, columns)})
 
-    return dealt.groupBy("kind", "cell", "salt").cogroup(spread.groupBy("kind", "cell", "salt")).applyInPandas(join, "kind string, core string, party_id long, form string, distance int")
+    grouped = salted.groupBy("kind", "cell", "salt").cogroup(copied.groupBy("kind", "cell", "salt"))
+    return grouped.applyInPandas(join, "kind string, core string, party_id long, form string, distance int")
+
+
+def over_cores(df: DataFrame) -> DataFrame:
+    """Rows before Python work dealt over all cores, which small shuffle blocks would not be."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
 def link_names(values: DataFrame, parties: DataFrame) -> DataFrame:
@@ -355,7 +443,7 @@ def link_names(values: DataFrame, parties: DataFrame) -> DataFrame:
                 i, k, f = zip(*out)
                 yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(k), pa.array(f)], ["party_id", "kind", "form"])
 
-    typed = materialize(distinct.mapInArrow(read, "value string, kind string, core string, spent int"), "name-cores")
+    typed = materialize(over_cores(distinct).mapInArrow(read, "value string, kind string, core string, spent int"), "name-cores")
     registered = parties.select(F.col("party_id").cast("long"), "official_name", "kind").mapInArrow(write, "party_id long, kind string, form string")
     # many values come down to one core: each is joined and checked once
     pairs = radius_join(typed.select("kind", "core").distinct(), registered)

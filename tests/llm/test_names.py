@@ -23,6 +23,28 @@ def test_distances_against_brute_force():
     assert N.distances(a, a, i, j).tolist() == [edits(a[x], a[y]) for x, y in zip(i, j)]
 
 
+def test_long_texts_differ_where_they_differ():
+    a = "x" * 70
+    pairs = [(a + "0123456789", a + "abcdefghij"), ("y" + a + "012345678", a + "0123456789"), ("é" * 200, "é" * 199 + "z"), ("", a), (a, "x")]
+    rng = random.Random(8)
+    pairs += [("".join(rng.choice("ابج ") for _ in range(rng.randint(50, 140))), "".join(rng.choice("ابج ") for _ in range(rng.randint(50, 140)))) for _ in range(30)]
+    left, right = [x for x, _ in pairs], [y for _, y in pairs]
+    k = np.arange(len(pairs))
+    assert N.distances(left, right, k, k).tolist() == [edits(x, y) for x, y in pairs] == [N.edit_distance(x, y) for x, y in pairs]
+
+
+@pytest.mark.parametrize("first, pet", [("سالم", "سلومي"), ("حسين", "حسوني"), ("كريم", "كروم"), ("عبد الستار", "ستوري"), ("زهير", "زهوري"), ("ليلى", "للول"), ("مروان", "مارو"), ("ضياء", "ضيوي"), ("كوثر", "كواثر")])
+def test_pet_forms_come_from_a_rule(first, pet):
+    assert min(edits(N.fold(pet), f) for f in N.pet_forms(N.fold(first))) <= 1
+
+
+def test_short_names_are_read_and_linked_exactly(spark):
+    assert ("ministry", "نفط", 0) in N.cores("وزارة نفط")
+    values = spark.createDataFrame([("وزارة نفط",), ("وزارة نفض",), ("و. النفط",)], "value string")
+    parties = spark.createDataFrame([(1, "وزارة النفط", "organisation")], "party_id long, official_name string, kind string")
+    assert {r.value for r in N.link_names(values, parties).collect()} == {"وزارة نفط", "و. النفط"}
+
+
 PARTIES = [
     (1, "وزارة الفروسية والفلك", "organisation"),
     (2, "المديرية العامة للخزن المبرد في وادي القيصوم", "organisation"),
@@ -74,6 +96,15 @@ def test_join_is_exact(spark):
     assert got == want
 
 
+def test_large_cells_are_dealt_over_salts(spark, monkeypatch):
+    forms = sorted({f for i, n, k in PARTIES if n for f in N.forms(n, k)})
+    registered = spark.createDataFrame([(1, k, f) for k, f in forms], "party_id long, kind string, form string")
+    typed = spark.createDataFrame(forms, "kind string, core string")
+    want = sorted(map(tuple, N.radius_join(typed, registered).collect()))
+    monkeypatch.setattr(N, "SHARE", 3)
+    assert sorted(map(tuple, N.radius_join(typed, registered).collect())) == want
+
+
 def test_empty(spark):
     values = spark.createDataFrame([], "value string")
     parties = spark.createDataFrame(PARTIES, "party_id long, official_name string, kind string")
