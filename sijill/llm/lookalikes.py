@@ -31,7 +31,7 @@ aа cсϲ dԁ eе hһ iі jјϳ lӏ oοо pр qԛ sѕ vνѵ wԝ xх yу µμ
 -‐‑‒–−﹣⁃ /∕⁄⧸
 """
 #: Code points without a look of their own.
-INVISIBLE = [0xAD, 0x34F, 0x61C, 0x180E, 0x0D, *range(0x180B, 0x180E), *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), *range(0xFE00, 0xFE10), 0xFEFF]
+INVISIBLE = [0xAD, 0x34F, 0x61C, 0x180E, 0x0D, *range(0x180B, 0x180E), *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), *range(0xFE00, 0xFE10), 0xFEFF, *range(0x1D173, 0x1D17B), 0xE0001, *range(0xE0020, 0xE0080), *range(0xE0100, 0xE01F0)]
 # Arabic letters that look like another one only where they join the next letter, or only where they don't.
 JOINED = {"ی": "ي", "ک": "ك", "ھ": "ه"}
 UNJOINED = {"ی": "ى", "ە": "ه"}
@@ -77,7 +77,7 @@ class UnionFind:
 def alike() -> list[list[str]]:
     """The look-alike classes, from Unicode's own decompositions and the fixed groups above."""
     uf = UnionFind()
-    for cp in range(0x80, 0x10000):
+    for cp in (*range(0x80, 0xD800), *range(0xE000, 0x110000)):
         ch = chr(cp)
         tag, _, parts = unicodedata.decomposition(ch).partition(" ")
         if tag in ("<initial>", "<medial>", "<final>", "<isolated>", "<wide>", "<narrow>"):
@@ -186,7 +186,7 @@ def class_counts(rows: DataFrame, field: str) -> dict[str, int]:
         for batch in batches:
             text = "".join(v for v in batch.column(0).to_pylist() if v)
             a = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-            total += np.bincount(a[a < 65536], minlength=65536)[at]
+            total += np.bincount(a, minlength=0x110000)[at]
         hit = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at[hit], pa.int32()), pa.array(total[hit], pa.int64())], ["cp", "n"])
 
@@ -234,44 +234,48 @@ def look_alike_rows(forms: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return forms.join(mixed, keys, "left_semi")
 
 
-#: Two stored texts with more pairs of rows than this are linked through their first rows instead.
-PAIRS_LISTED = 1_000_000
-
-
-def look_alike_pairs(forms: DataFrame, listed: int = PAIRS_LISTED, by: tuple[str, ...] = ()) -> DataFrame:
-    """(*by, key_a, key_b) of rows whose texts read alike but are stored differently.
+def look_alike_pairs(forms: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, key_a, key_b) of all rows whose texts read alike but are stored differently.
 
     Different stored texts of a class are paired first, their rows after that, so exact
-    copies of one another are never paired. Where two texts have more than `listed` pairs
-    of rows, each row is paired with the other text's first row only: every row and every
-    link between texts stays, and the output grows as the rows do. Classes are compared
-    within equal values of the columns `by`.
+    copies of one another are never paired. Every pair is listed, as the result is defined;
+    `look_alike_links` gives the same links in a size that grows as the rows do. Classes
+    are compared within equal values of the columns `by`.
     """
     keys = [*by, "form"]
     rows = materialize(look_alike_rows(forms, by), "look-alike-rows")
-    variants = rows.groupBy(*keys, "stored").agg(F.count(F.lit(1)).alias("n_rows"), F.min("key").alias("first"))
-    of = lambda side: variants.select(*keys, *[F.col(c).alias(f"{c}_{side}") for c in ("stored", "n_rows", "first")])
-    texts = of("a").join(of("b"), keys).where("stored_a < stored_b").withColumn("many", F.col("n_rows_a") * F.col("n_rows_b") > listed)
+    variants = rows.select(*keys, "stored").distinct()
+    texts = variants.withColumnRenamed("stored", "stored_a").join(variants.withColumnRenamed("stored", "stored_b"), keys).where("stored_a < stored_b")
     row = lambda side, name: rows.select(*keys, F.col("stored").alias(f"stored_{side}"), F.col("key").alias(name))
-    # a row of the first text, with all rows of the second or, where those are too many, its first one
-    one = texts.join(row("a", "key_1"), [*keys, "stored_a"])
-    few = one.where("NOT many").join(row("b", "key_2"), [*keys, "stored_b"]).select(*by, "key_1", "key_2")
-    left = one.where("many").select(*by, "key_1", F.col("first_b").alias("key_2"))
-    right = texts.where("many").join(row("b", "key_2"), [*keys, "stored_b"]).where("key_2 <> first_b").select(*by, F.col("first_a").alias("key_1"), "key_2")
-    return few.unionByName(left).unionByName(right).select(*by, F.least("key_1", "key_2").alias("key_a"), F.greatest("key_1", "key_2").alias("key_b"))
+    pairs = texts.join(row("a", "key_1"), [*keys, "stored_a"]).join(row("b", "key_2"), [*keys, "stored_b"])
+    return pairs.select(*by, F.least("key_1", "key_2").alias("key_a"), F.greatest("key_1", "key_2").alias("key_b"))
+
+
+def look_alike_links(forms: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, key, class_id, n_rows, n_texts): each row's class, and how many rows and stored texts it has.
+
+    A row has as many partners stored otherwise as its class has rows of other texts;
+    counts combine before their shuffle, so a class that a third of the rows share costs
+    no task more than others.
+    """
+    keys = [*by, "form"]
+    texts = forms.groupBy(*keys, "stored").agg(F.count(F.lit(1)).alias("n"))
+    classes = texts.groupBy(*keys).agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_texts"))
+    return forms.join(classes, keys).select(*by, "key", F.col("form").alias("class_id"), "n_rows", "n_texts")
 
 
 _FIELDS = [("search_records", "search_id", "title"), ("search_records", "search_id", "decision_number"), ("chunks", "row_id", "text")]
 
 
-def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+def _forms(spark: SparkSession, folder: str) -> DataFrame:
     parts = [reading_forms(texts(spark, folder, n, k, f), k, f).select(F.lit(n).alias("table_name"), F.lit(f).alias("field"), "key", "stored", "form") for n, k, f in _FIELDS]
-    forms = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return look_alike_pairs(forms, by=("table_name", "field"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return look_alike_pairs(_forms(spark, folder), by=("table_name", "field"))
 
 
 def p2_classes(spark: SparkSession, folder: str) -> DataFrame:
-    """Each title with the digest that titles reading alike share, and how many stored texts share it."""
-    forms = reading_forms(texts(spark, folder, "search_records", "search_id", "title"), "search_id", "title")
-    texts = forms.select("form", "stored").distinct().groupBy("form").agg(F.count(F.lit(1)).alias("n_texts"))
-    return forms.join(texts, "form").select(F.col("key").alias("search_id"), F.col("form").alias("class_id"), "n_texts")
+    """Each row of each field with the digest that texts reading alike share, and the rows and stored texts that share it."""
+    return look_alike_links(_forms(spark, folder), by=("table_name", "field")).withColumnRenamed("key", "row_key")

@@ -33,8 +33,6 @@ PAIRS = [
 #: Log-scores. A switch into a garbled state and out of it; what a character costs.
 ENTER, LEAVE, OFF, ORPHAN, SINGLE = -5.0, -0.5, -9.0, -3.0, -0.3
 ALONE, PACKED, CONTROL, LOST, COINCIDENCE = -1.5, -5.0, -6.0, -5.0, -2.5
-#: Text goes through the model at most so often.
-PASSES = 4
 _CELLS = 1_500_000
 
 
@@ -211,7 +209,9 @@ def restore_all(texts: list[str]) -> list[tuple[bool, str | None]]:
     """For each text: whether it is garbled, and its restored form, None where bytes were lost."""
     state: list[list] = [[False, t] for t in texts]
     todo = [i for i, t in enumerate(texts) if t]
-    for _ in range(PASSES):
+    # text garbled several times goes through the model until nothing changes or an earlier form returns
+    seen: list[set[str]] = [{t} if t else set() for t in texts]
+    while todo:
         todo.sort(key=lambda i: len(state[i][1]))
         again, k = [], 0
         while k < len(todo):
@@ -239,11 +239,10 @@ def restore_all(texts: list[str]) -> list[tuple[bool, str | None]]:
                 if new == text:
                     continue
                 state[i] = [True, new]
-                if new:
+                if new and new not in seen[i]:
+                    seen[i].add(new)
                     again.append(i)
         todo = again
-        if not todo:
-            break
     return [(g, t) for g, t in state]
 
 

@@ -22,6 +22,8 @@ from sijill.session import materialize, texts
 CAPACITY = 2048
 #: Texts in a cell, fillings tried at a node, and nodes opened in a cell before its best solution stands.
 CELL, FILLINGS, NODES = 2_000, 6, 1_500
+#: A cell's node budget is at least so many dives to a full solution.
+DIVES = 4
 #: How many sizes are tried at each place of a filling, and how many texts a filling adds at most by search.
 BREADTH, DEPTH = 5, 4
 #: Larger fillings are not compared piece by piece; they are only kept in order of waste.
@@ -91,13 +93,32 @@ def dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
     return False
 
 
+def lower_bound(sizes: list[int], capacity: int) -> int:
+    """Containers that any packing needs: by volume, and by the room that items over half the capacity leave to those not below k."""
+    ordered = sorted(sizes)
+    sums = [0]
+    for s in ordered:
+        sums.append(sums[-1] + s)
+    at = lambda size: bisect_right(ordered, size)
+    half = at(capacity // 2)
+    best = -(-sums[-1] // capacity)
+    for k in {0, *(s for s in ordered[:half])}:
+        # over capacity - k: alone; over half: one each, with room for some of the rest from k up
+        large, low = at(capacity - k), at(k - 1)
+        middle, small = large - half, sums[half] - sums[min(low, half)]
+        room = middle * capacity - (sums[large] - sums[half])
+        best = max(best, len(ordered) - large + middle + max(0, -(-(small - room) // capacity)))
+    return best
+
+
 class BinCompletion:
     def __init__(self, sizes: list[int], capacity: int, nodes: int = NODES):
-        self.sizes, self.capacity, self.nodes = sizes, capacity, nodes
+        self.sizes, self.capacity = sizes, capacity
         self.total = sum(sizes)
         self.best = best_fit(sizes, capacity)
-        # items over half the capacity need a container each
-        self.bound = max(-(-self.total // capacity), sum(s * 2 > capacity for s in sizes))
+        self.bound = lower_bound(sizes, capacity)
+        # every dive to a full solution opens a node a container: the budget is several dives, whatever the cell holds
+        self.nodes = max(nodes, DIVES * len(self.best))
         self.stock: dict[int, list[int]] = {}
         for i, s in enumerate(sizes):
             self.stock.setdefault(s, []).append(i)

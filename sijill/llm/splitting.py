@@ -1,7 +1,7 @@
 """Problem 7: splitting oversized texts at natural boundaries.
 
-A text is read as a tree: sections under headings, lines or list items, sentences,
-words, characters. Only nodes over the limit are opened; sibling subtrees are merged
+A text is read as a tree: headings by their level, list items with what follows them,
+lines, sentences, words, characters. Only nodes over the limit are opened; sibling subtrees are merged
 bottom-up into pieces as long as they fit. Each piece brings at most `limit - overlap`
 new characters and repeats the `overlap` characters before them.
 """
@@ -27,8 +27,12 @@ _LINE = re.compile(r"\r?\n")
 _SENTENCE = re.compile(f"(?<=[{re.escape(ENDS)}])[{WHITE}]+")
 _WORD = re.compile(f"[{WHITE}]+")
 _ITEM = re.compile(r"\s*(?:[\-*•–]|\(?\d{1,3}[.):\-]|\(?[٠-٩]{1,3}[.):\-]|(?:أولا|ثانيا|ثالثا|رابعا|خامسا|سادسا|سابعا|ثامنا|تاسعا|عاشرا)ً?\b)")
-_HEADING_MARKS = re.compile(r"\s*(?:#{1,6}\s|الباب|الفصل|القسم|المادة|مادة|Chapter\b|Section\b|Article\b)", re.I)
+# Words that open a heading, by their level; `#` marks count their own.
+_HEADINGS = [re.compile(rf"\s*(?:{words})(?!\w)", re.I) for words in ("الباب|Part", "الفصل|Chapter", "القسم|Section", "المادة|مادة|Article")]
+_MARKUP = re.compile(r"\s*(#{1,6})\s")
 HEADING_LIMIT = 80
+#: Levels below the marked headings: other short lines that head what follows, list items, and plain lines.
+SHORT, ITEM, PLAIN = 7, 8, 9
 
 
 def _spans(text: str, start: int, end: int, cut: re.Pattern) -> list[tuple[int, int]]:
@@ -43,12 +47,28 @@ def _spans(text: str, start: int, end: int, cut: re.Pattern) -> list[tuple[int,
     return out
 
 
-def _is_heading(line: str) -> bool:
-    """A short line that is no list item and doesn't end like a sentence."""
+def _level(line: str) -> int:
+    """Where a line stands in the tree; a short line that doesn't end like a sentence is a heading."""
     line = line.strip()
-    if not line or len(line) > HEADING_LIMIT or _ITEM.match(line):
-        return False
-    return bool(_HEADING_MARKS.match(line)) or line[-1] not in ENDS
+    if _ITEM.match(line):
+        return ITEM
+    if not line or len(line) > HEADING_LIMIT:
+        return PLAIN
+    if m := _MARKUP.match(line + " "):
+        return len(m[1])
+    for k, words in enumerate(_HEADINGS):
+        if words.match(line):
+            return k + 1
+    return SHORT if line[-1] not in ENDS else PLAIN
+
+
+class Node:
+    """A heading, list item or line with what belongs to it."""
+
+    __slots__ = ("level", "start", "end", "children")
+
+    def __init__(self, level: int, start: int, end: int):
+        self.level, self.start, self.end, self.children = level, start, end, []
 
 
 class StructureTree:
@@ -80,25 +100,45 @@ class StructureTree:
             parts += [(a, b)] if b - a <= self.fresh else self._open(a, b, level + 1)
         return self._merge(parts)
 
+    def tree(self) -> Node:
+        """Lines under the item or heading that they follow, headings under those of a higher level."""
+        root = Node(0, 0, 0)
+        path = [root]
+        for a, b in _spans(self.text, 0, len(self.text), _LINE):
+            level = _level(self.text[a:b]) if b - a <= self.fresh else PLAIN
+            while path[-1].level >= level:
+                path.pop()
+            node = Node(level, a, b)
+            path[-1].children.append(node)
+            if level < PLAIN:
+                node.children.append(Node(PLAIN, a, b))
+                path.append(node)
+            for above in path:
+                above.end = b
+        return root
+
+    def _pack(self, node: Node) -> list[tuple[int, int, bool]]:
+        """(start, end, whole) of a subtree's pieces: itself if it fits, else those of its children, neighbours that fit whole merged."""
+        if node.end - node.start <= self.fresh:
+            return [(node.start, node.end, True)]
+        if not node.children:
+            return [(a, b, False) for a, b in self._open(node.start, node.end, 0)]
+        out: list[tuple[int, int, bool]] = []
+        for child in node.children:
+            for a, b, whole in self._pack(child):
+                if whole and out and out[-1][2] and b - out[-1][0] <= self.fresh:
+                    out[-1] = (out[-1][0], b, True)
+                else:
+                    out.append((a, b, whole))
+        return [(a, b, False) for a, b, _ in out]
+
     def pieces(self) -> list[tuple[int, int, int]]:
         """(start with overlap, start of what is new, end) of each piece, in order; between the ends only white space is left out."""
-        sections: list[list[tuple[int, int]]] = [[]]
-        for a, b in _spans(self.text, 0, len(self.text), _LINE):
-            if sections[-1] and b - a <= HEADING_LIMIT and _is_heading(self.text[a:b]):
-                sections.append([])
-            sections[-1].append((a, b))
-        packed: list[tuple[int, int]] = []
-        for lines in sections:
-            if not lines:
-                continue
-            if lines[-1][1] - lines[0][0] <= self.fresh:
-                packed.append((lines[0][0], lines[-1][1]))
-                continue
-            parts = []
-            for a, b in lines:
-                parts += [(a, b)] if b - a <= self.fresh else self._open(a, b, 0)
-            packed += self._merge(parts)
-        return [(max(0, a - self.overlap), a, b) for a, b in self._merge(packed)]
+        root = self.tree()
+        if not root.children:
+            return []
+        root.start = root.children[0].start
+        return [(max(0, a - self.overlap), a, b) for a, b, _ in self._pack(root)]
 
     @property
     def boundary(self) -> str:

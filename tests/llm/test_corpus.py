@@ -39,6 +39,19 @@ def test_sections_stay_together():
     assert starts == [f"عنوان {i}" for i in range(4)]
 
 
+def test_headings_and_items_nest():
+    text = "الباب الأول\nالفصل الأول\nنص.\n1- بند\nتتمة البند.\n2- بند آخر\nالفصل الثاني\nنص.\n# باب\nسطر."
+    tree = S.StructureTree(text, 40, 5).tree()
+    show = lambda n: (text[n.start : n.end].split("\n")[0], [show(c) for c in n.children if c.level < S.PLAIN])
+    assert [show(c) for c in tree.children] == [("الباب الأول", [("الفصل الأول", [("1- بند", []), ("2- بند آخر", [])]), ("الفصل الثاني", [])]), ("# باب", [])]
+
+
+def test_an_opened_section_does_not_run_into_the_next():
+    text = "الفصل الأول\n" + "سطر من النص.\n" * 40 + "الفصل الثاني\nسطر."
+    ends = [text[f:e] for _, f, e in S.StructureTree(text, 300, 50).pieces()]
+    assert ends[-1].startswith("الفصل الثاني")
+
+
 def test_split_texts_edges(spark):
     df = spark.createDataFrame([(1, "x" * 1400, 0), (2, "x" * 1401, 0), (2, "x" * 1401, 0), (3, None, 0), (4, "", 0)], "id long, t string, pieces int")
     assert [(r.row_key, r.boundary, len(r.pieces)) for r in S.split_texts(df, "id", "t").collect()] == [(2, "none", 2)] * 2
@@ -84,6 +97,23 @@ def test_bin_completion_is_optimal_on_small_cases():
         assert len(bins) == optimum(sizes, 100)
 
 
+def test_lower_bound_never_exceeds_the_optimum():
+    rng = random.Random(7)
+    for _ in range(150):
+        sizes = [rng.randint(5, 90) for _ in range(rng.randint(1, 8))]
+        assert P.lower_bound(sizes, 100) <= optimum(sizes, 100)
+    assert P.lower_bound([51, 51, 49, 48], 100) == 2 and P.lower_bound([60, 60, 45, 45], 100) == 3
+
+
+def test_search_beats_best_fit_where_that_misses_the_bound():
+    rng = random.Random(1)
+    sizes = [rng.randint(300, 900) for _ in range(400)]
+    solver = P.BinCompletion(sizes, 2048)
+    before = len(solver.best)
+    bins = solver.solve()
+    assert before > solver.bound and len(bins) <= before and sorted(i for b in bins for i in b) == list(range(400)) and all(sum(sizes[i] for i in b) <= 2048 for b in bins)
+
+
 def test_dominance():
     assert P.dominates((60, 40), (50, 40)) and P.dominates((60,), (30, 30)) and not P.dominates((30, 30), (60,))
 

@@ -75,10 +75,18 @@ def test_pairs_copies_nulls_and_garbled(spark):
     assert L.look_alike_pairs(L.reading_forms(df.limit(0), "id", "t")).count() == 0
 
 
-def test_many_copies_are_linked_through_first_rows(spark):
+def test_every_pair_of_many_copies_is_listed_and_counted(spark):
     df = spark.createDataFrame([(i, "A 1") for i in range(1, 6)] + [(i, "А 1") for i in range(6, 9)], "id long, t string")
-    got = sorted(map(tuple, L.look_alike_pairs(L.reading_forms(df, "id", "t"), 10).collect()))
-    assert got == [(1, 6), (1, 7), (1, 8), (2, 6), (3, 6), (4, 6), (5, 6)]
+    forms = L.reading_forms(df, "id", "t")
+    assert sorted(map(tuple, L.look_alike_pairs(forms).collect())) == [(a, b) for a in range(1, 6) for b in range(6, 9)]
+    assert {(r.n_rows, r.n_texts) for r in L.look_alike_links(forms).collect()} == {(8, 2)} and L.look_alike_links(forms).count() == 8
+
+
+def test_garbled_many_times():
+    text = bad = "قرار مجلس الوزراء رقم ١٢"
+    for _ in range(6):
+        bad = garble(bad, "utf-8", "latin-1")
+    assert M.restore_all([bad]) == [(True, text)]
 
 
 def test_p2_against_brute_force(spark, small):
