@@ -79,6 +79,17 @@ class Dialect:
     def json(self, x: str, path: str) -> str:
         return f"get_json_object({x}, {self.s(path)})"
 
+    def valid(self, x: str) -> str:
+        """Whether a text is complete JSON."""
+        return f"(try_parse_json({x}) IS NOT NULL)"
+
+    def payload(self, x: str) -> str:
+        """A stored payload as the JSON object it holds: marks before it dropped, text that wraps it (up to twice) taken off; null otherwise."""
+        bare = lambda v: self.sub(v, r"^[\s\x{FEFF}]+", "")
+        unwrap = lambda v: f"CASE WHEN {self.match(v, '^[\"]')} AND {self.valid(v)} THEN {bare(self.json(v, '$'))} ELSE {v} END"
+        out = unwrap(unwrap(bare(x)))
+        return f"CASE WHEN {self.match(out, '^[{]')} AND {self.valid(out)} THEN {out} END"
+
     # --- lists
     def size(self, x: str) -> str:
         return f"CAST(size({x}) AS BIGINT)"
@@ -195,6 +206,9 @@ class Duck(Dialect):
     def json(self, x: str, path: str) -> str:
         return f"json_extract_string({x}, {self.s(path)})"
 
+    def valid(self, x: str) -> str:
+        return f"json_valid({x})"
+
     def size(self, x: str) -> str:
         return f"CAST(len({x}) AS BIGINT)"
 

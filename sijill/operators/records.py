@@ -88,6 +88,17 @@ def chunk_citations(q: Dialect) -> str:
     return f"SELECT * FROM ({own}) WHERE chunk_id <> '' AND source_file <> ''"
 
 
+def _payloads(q: Dialect) -> str:
+    """Complete payloads, however they are wrapped."""
+    rows = f"SELECT record_id, {q.payload('payload')} AS payload, {q.text('long_text')} AS x FROM {q.table('loaded_legal_json')}"
+    return f"SELECT * FROM ({rows}) WHERE payload IS NOT NULL"
+
+
+def payload_fields(q: Dialect) -> str:
+    """Fields of the document object in every payload."""
+    return f"SELECT record_id, {', '.join(f'{q.json("payload", f"$.document.{k}")} AS {k}' for k in ('type', 'year', 'session_number'))} FROM ({_payloads(q)})"
+
+
 def derived(q: Dialect) -> str:
     """What every payload's own fields and its text tell of a decision, fields before text."""
     pick = lambda *paths: q.first(*[q.text(q.json("payload", f"$.{p}")) for p in paths])
@@ -106,8 +117,7 @@ def derived(q: Dialect) -> str:
         "recommendation_numbers": first(RECOMMENDATION_NUMBERS),
         "dates": q.find("x", DATE),
     }
-    whole = "json_valid(payload)" if q.duck else "try_parse_json(payload) IS NOT NULL"
-    return f"SELECT record_id, {', '.join(f'{v} AS {k}' for k, v in fields.items())} FROM (SELECT record_id, payload, {q.text('long_text')} AS x FROM {q.table('loaded_legal_json')} WHERE {q.match('payload', r'^\s*\{')} AND {whole})"
+    return f"SELECT record_id, {', '.join(f'{v} AS {k}' for k, v in fields.items())} FROM ({_payloads(q)})"
 
 
 # What a generated payload must have, and fields it must not have.
@@ -134,8 +144,7 @@ def payload_errors(q: Dialect) -> str:
     rules += [(f"NOT {is_list(f'legal_entities.{k}')}", f"legal_entities.{k} must be a list") for k in ENTITY_KEYS] + [(f"NOT {is_list(f'extracted_fields.{k}')}", f"extracted_fields.{k} must be a list") for k in FIELD_KEYS]
     rules += [(f"NOT {is_object('signature')}", "signature must be an object")] + [(absent(p), f"missing top-level {p}") for p in GOVERNMENT]
     errors = q.keep(q.list(*[f"CASE WHEN {c} THEN {q.s(m)} END" for c, m in rules]), "e", "e IS NOT NULL")
-    whole = "json_valid(payload)" if q.duck else "try_parse_json(payload) IS NOT NULL"
-    rows = f"SELECT record_id, {errors} AS errors FROM {q.table('loaded_legal_json')} WHERE {q.match('payload', r'^\s*\{')} AND {whole}"
+    rows = f"SELECT record_id, {errors} AS errors FROM ({_payloads(q)})"
     return f"SELECT record_id, {q.size('errors')} AS n_errors, {q.join('errors', ' ; ')} AS errors FROM ({rows})"
 
 

@@ -26,15 +26,7 @@ def search_record_context(spark, folder):
     return table(spark, folder, "search_records").select("search_id", F.substring(F.array_join(values, " | "), 1, 1200).alias("context"))
 
 
-def payload_metadata(spark, folder):
-    """Fields of the document object in a payload."""
-    pick = lambda k: F.get_json_object("payload", f"$.document.{k}")
-    whole = table(spark, folder, "loaded_legal_json").where(F.col("payload").startswith("{") & F.try_parse_json("payload").isNotNull())
-    return whole.select("record_id", pick("type").alias("type"), pick("year").alias("year"), pick("session_number").alias("session_number"))
-
-
-QUERIES = {f.__name__: f for f in (chunk_overlap, chunk_sentence_pack, stable_document_id, search_record_context, payload_metadata)}
+QUERIES = {f.__name__: f for f in (chunk_overlap, chunk_sentence_pack, stable_document_id, search_record_context)}
 SQL = {
     "stable_document_id": "SELECT search_id, 'legal_json_' || substring(sha1(coalesce(filename, '') || '|' || coalesce(year, '') || '|' || coalesce(title, '')), 1, 12) AS stable_id FROM search_records",
-    "payload_metadata": "SELECT record_id, json_extract_string(payload, '$.document.type') AS type, json_extract_string(payload, '$.document.year') AS year, json_extract_string(payload, '$.document.session_number') AS session_number FROM (SELECT * FROM loaded_legal_json WHERE starts_with(payload, '{') AND json_valid(payload))",
 }
