@@ -6,6 +6,9 @@ folded. Where a fact isn't stated, null.
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from sijill.functions.dialect import Dialect
 from sijill.functions.extract import DATE
 
@@ -196,3 +199,22 @@ def content(q: Dialect) -> str:
     other = q.keep("ps", "p", f"NOT {about} AND {q.any(fold(q, 'p'), OUTCOME)}")
     ordered = f"list_sort({q.unique('refs')})" if q.duck else f"array_sort({q.unique('refs')})"
     return f"SELECT k AS record_id, {q.join(ordered, ' | ')} AS legal_references, {q.join(q.distinct_by('duties', 'v', fold(q, 'v')), ' | ')} AS responsibilities, coalesce({q.at(decided, 1)}, {q.at(other, 1)}) AS outcome, {q.join(q.distinct_by('named', 'v', fold(q, 'v')), ' | ')} AS affected FROM ({rows})"
+
+
+def with_number(spans: DataFrame) -> DataFrame:
+    """Spans under one number, made of their record and first line."""
+    return spans.withColumn("span", F.shiftleft("record_id", 24) + F.col("first"))
+
+
+def legal_spans(q: Dialect) -> str:
+    """Every record's lines as the legal chunker takes them: an item with what follows it up to the next item or the signature; all other lines alone."""
+    from sijill.operators.structure import ITEM
+
+    lines = f"SELECT k, sign, {q.rows(q.places('ps', 'i', 'true'))} AS i, ps FROM ({stages(q, 'record_id', 'source_file', 'loaded_legal_json')})"
+    marked = f"SELECT k, i, coalesce(sign, {q.size('ps')} + 1) AS sign, {q.at('ps', 'i')} AS line, CASE WHEN {q.match(q.at('ps', 'i'), ITEM)} THEN i END AS item FROM ({lines})"
+    spans = f"SELECT k, i, line, CASE WHEN i >= sign THEN NULL ELSE max(item) OVER (PARTITION BY k ORDER BY i) END AS item FROM ({marked})"
+    label = "CASE WHEN item IS NULL THEN 'paragraph' ELSE 'item' END"
+    start = "coalesce(item, i)"
+    # a span's lines are some of one record's: they are put together in their order
+    text = "string_agg(line, chr(10) ORDER BY i)" if q.duck else "array_join(transform(array_sort(collect_list(struct(i, line))), x -> x.line), chr(10))"
+    return f"SELECT k AS record_id, {label} AS label, CAST({start} AS BIGINT) AS first, CAST(max(i) AS BIGINT) AS last, {text} AS text FROM ({spans}) GROUP BY k, {label}, {start}"

@@ -3,15 +3,15 @@
 from pyspark.sql import functions as F
 
 from sijill.operators import chunking as C
-from sijill.session import table
+from sijill.session import table, texts
 
 
 def chunk_overlap(spark, folder):
-    return C.split_overlap(table(spark, folder, "loaded_legal_json"), "record_id", "long_text")
+    return C.split_overlap(texts(spark, folder, "loaded_legal_json", "record_id", "long_text"), "record_id", "long_text")
 
 
 def chunk_sentence_pack(spark, folder):
-    return C.pack_sentences(table(spark, folder, "documents"), "doc_id", "text")
+    return C.pack_sentences(texts(spark, folder, "documents", "doc_id", "text"), "doc_id", "text")
 
 
 def stable_document_id(spark, folder):

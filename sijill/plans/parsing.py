@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from sijill.functions import arabic as A
 from sijill.functions import extract as X
+from sijill.functions.dialect import DUCK, SPARK
 from sijill.operators import retrieval as R
 from sijill.operators import structure as S
 from sijill.session import table
@@ -39,8 +40,8 @@ def json_syntax(spark, folder):
 
 
 def payload_keys(spark, folder):
-    """The top-level keys of payloads that are objects, in order of name."""
-    rows = _records(spark, folder).where(F.col("payload").startswith("{") & F.try_parse_json("payload").isNotNull())
+    """The top-level keys of payloads that are objects, however wrapped, in order of name."""
+    rows = _records(spark, folder).select("record_id", F.expr(SPARK.payload("payload")).alias("payload")).where("payload IS NOT NULL")
     return rows.select("record_id", F.array_join(F.array_sort(F.json_object_keys("payload")), ",").alias("keys"), F.array_join(S.banned_keys(F.col("payload")), ",").alias("banned"))
 
 
@@ -75,6 +76,7 @@ _P = f"p AS (SELECT record_id, {_PS.format('long_text')} AS ps FROM loaded_legal
 _SIGN = rf"length(line) <= 90 AND regexp_matches(translate(regexp_replace(line, '[\x{{064b}}-\x{{065f}}\x{{0670}}\x{{0640}}]+', '', 'g'), 'أإآ', 'ااا'), '{S.SIGNER}')"
 _LIST = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
 SQL = {
+    "clean_documents": f"SELECT doc_id, {S.cleaned_text(DUCK, 'text')} AS text FROM documents",
     "numbered_items": f"WITH {_P} SELECT record_id, CASE WHEN regexp_extract(line, '{S.ITEM}', 1) <> '' THEN 'ordinal_item' ELSE 'article_reference' END AS kind, CASE WHEN regexp_extract(line, '{S.ITEM}', 1) <> '' THEN regexp_extract(line, '{S.ITEM}', 1) ELSE trim(regexp_extract(line, '{S.ARTICLE}', 1)) END AS number, i AS paragraph_index FROM l "
     f"WHERE regexp_extract(line, '{S.ITEM}', 1) <> '' OR regexp_extract(line, '{S.ARTICLE}', 1) <> ''",
     "document_sections": f"WITH {_P}, n AS (SELECT record_id, len(ps) AS n FROM p), g AS (SELECT record_id, min(i) AS s FROM l WHERE {_SIGN} GROUP BY 1), b AS (SELECT record_id, min(i) AS a, max(i) AS z FROM l WHERE regexp_extract(line, '{S.ITEM}', 1) <> '' GROUP BY 1) "
@@ -82,7 +84,7 @@ SQL = {
     "page_lines": f"WITH l AS (SELECT doc_id, unnest({_PS.format('text')}) AS line FROM documents) SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE regexp_matches(line, '{S.PAGE_NUMBER}') OR regexp_matches(line, '{S.PAGE_COUNTER}')) AS n_page_lines FROM l GROUP BY doc_id",
     "summary_only_chunks": f"SELECT row_id, coalesce(trim(text) <> '' AND len(list_filter({_LIST(S.SUMMARY_MARKERS)}, lambda w: contains(lower(text), lower(w)))) > 0 AND len(list_filter({_LIST(S.SOURCE_MARKERS)}, lambda w: contains(lower(text), lower(w)))) = 0 AND length(text) < 1500, false) AS summary_only FROM chunks",
     "json_syntax": "SELECT record_id, CASE WHEN payload IS NOT NULL THEN json_valid(payload) END AS valid FROM loaded_legal_json",
-    "payload_keys": "SELECT record_id, array_to_string(list_sort(json_keys(payload)), ',') AS keys, array_to_string(list_filter(" + _LIST(S.BANNED_KEYS) + r""", lambda k: regexp_matches(payload, '"' || k || '"\s*:')), ',') AS banned FROM (SELECT * FROM loaded_legal_json WHERE starts_with(payload, '{') AND json_valid(payload))""",
+    "payload_keys": "SELECT record_id, array_to_string(list_sort(json_keys(payload)), ',') AS keys, array_to_string(list_filter(" + _LIST(S.BANNED_KEYS) + r""", lambda k: regexp_matches(payload, '"' || k || '"\s*:')), ',') AS banned FROM (SELECT record_id, """ + DUCK.payload("payload") + " AS payload FROM loaded_legal_json) WHERE payload IS NOT NULL",
     "upload_ids": "SELECT substring(sha256(text), 1, 16) AS upload_id, min(doc_id) AS first_doc, count(*) AS n_sent FROM documents WHERE text IS NOT NULL GROUP BY 1",
     "direct_answers": f"WITH r AS (SELECT document_id, max(record_id) AS record_id FROM loaded_legal_json WHERE document_id IS NOT NULL AND long_text IS NOT NULL GROUP BY 1), k AS (SELECT DISTINCT document_id FROM loaded_legal_json WHERE document_id IS NOT NULL), x AS (SELECT k.document_id, l.long_text AS t FROM k LEFT JOIN r USING (document_id) LEFT JOIN loaded_legal_json l ON l.record_id = r.record_id) "
     f"SELECT search_id, nullif({A.fold_digits_sql(f'''regexp_extract(coalesce(title, ''), '{X.NUMBER}', 1)''')}, '') AS number, nullif({A.fold_digits_sql(f'''regexp_extract(coalesce(title, ''), '{X.YEAR}', 1)''')}, '') AS year, "

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sijill.operators import registry as G
+from sijill.session import exists, materialize
+
 CHUNK_SCHEMA = "chunk_id string, text string, source_file string, document_id string, document_title string, document_type string, page_number int, chunk_index int, total_chunks int, section_title string, article_reference string, block_type string, year string, source_type string"
 
 
@@ -46,6 +49,50 @@ def export_registry(citations: DataFrame, path: str) -> None:
     citations.select(F.to_json(F.struct("chunk_id", F.struct(*[c for c in citations.columns if c != "chunk_id"]).alias("citation"))).alias("value")).write.mode("overwrite").text(path)
 
 
+def save_registry(citations: DataFrame, path: str) -> None:
+    """The registry as tables: one citation a chunk id, the counts of laws and articles, and the head that says when and how many."""
+    rows = materialize(citations.groupBy("chunk_id").agg(F.min(F.struct(*[c for c in citations.columns if c != "chunk_id"])).alias("c")).select("chunk_id", "c.*"), "registry")
+    rows.write.mode("overwrite").parquet(f"{path}/by_chunk_id")
+    laws = rows.groupBy("law", "article").agg(F.count(F.lit(1)).alias("n_chunks"))
+    laws.write.mode("overwrite").parquet(f"{path}/by_law_article")
+    totals = rows.agg(F.count(F.lit(1)).alias("chunk_count"), F.countDistinct("law").alias("n_laws"))
+    totals.select(F.lit(1).alias("schema_version"), F.current_timestamp().alias("generated_at"), "chunk_count", "n_laws").write.mode("overwrite").parquet(f"{path}/head")
+
+
+def load_registry(spark: SparkSession, path: str) -> DataFrame:
+    """The registry's citations; none where it was never saved."""
+    if not exists(spark, f"{path}/by_chunk_id"):
+        return spark.createDataFrame([], "chunk_id string, law string, article string")
+    return spark.read.parquet(f"{path}/by_chunk_id")
+
+
+def registry_head(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/head")
+
+
+def update_records(changes: DataFrame, path: str, keys: list[str]) -> None:
+    """JSON lines with the changed rows in place of those with their keys; a new table where there is none."""
+    spark = changes.sparkSession
+    if exists(spark, path):
+        changes = G.upsert(spark.read.schema(changes.schema).json(path), changes, keys)
+    # read in full before the table is replaced
+    materialize(changes, "update").write.mode("overwrite").json(path)
+
+
+def index_chunks(chunks: DataFrame, path: str) -> None:
+    """Put chunks into a chunk table: equal rows once, repeated ids made unique, and all rows of their sources replaced."""
+    spark = chunks.sparkSession
+    fresh = G.unique_ids(chunks.distinct(), "chunk_id", "text").drop("chunk_id").withColumnRenamed("unique_id", "chunk_id").select(*chunks.columns)
+    if exists(spark, path):
+        fresh = G.upsert(spark.read.schema(chunks.schema).parquet(path), fresh, ["source_file"])
+    materialize(fresh, "index").write.mode("overwrite").parquet(path)
+
+
+def import_records(spark: SparkSession, path: str, target: str) -> None:
+    """An export's JSON lines into a chunk table, by index_chunks."""
+    index_chunks(read_chunk_records(spark, path), target)
+
+
 def transcript(turns: DataFrame, conversation: str = "conv_id") -> DataFrame:
     """Conversations as text, a line a turn in order; a conversation's turns are few by nature."""
     lines = F.array_sort(F.collect_list(F.struct("turn", F.concat_ws(": ", "role", "text").alias("line"))))

@@ -26,7 +26,11 @@ def test_decoders():
     assert D.decode("md", b"# A\n\n- *b*\n> c")[1] == ["A", "b", "c"]
     assert D.rtf_text(rb"{\rtf1\ansi {\*\gen x;}one\par two \b three}", True) == "one\ntwo three"
     text, paragraphs, tables = D.decode("docx", docx(["first", "", "second"], [["a", ""], ["b", "c"]]))
-    assert paragraphs == ["first", "second", "a", "b", "c"] and tables == [[["a"], ["b", "c"]]] and text.endswith("a\nb | c")
+    assert paragraphs == ["first", "second", "a", "b", "c"] and tables == [[["a"], ["b", "c"]]] and text == "first\nsecond\na\nb\nc"
+    assert D.decode("docx", docx(["x"], [["b", "c"]]), table_rows=True)[0].endswith("b | c") and D.decode("docx", docx(["x", ""]), keep_empty=True)[1] == ["x", ""]
+    assert D.decode("docx", docx(["x  y"], [["b", "c"]]), government=True)[0] == "x y\nb\nc\nb | c"
+    assert D.rtf_text(rb"{\rtf1\ansicpg1256\uc1{\fonttbl{\f0 Arial;}}{\stylesheet{\s0 Normal;}}\u1602?\u1585?\'c7\'d1\tab x\\\{\par{\i deep {\b er}}}") == "قرار\tx\\{\ndeep er"
+    assert D.rtf_text("{\\rtf1 قرار}".encode()) == "قرار"
     with pytest.raises(ValueError):
         D.decode("xyz", b"")
 
@@ -40,6 +44,42 @@ def test_read_documents(spark, tmp_path):
     assert rows["a.txt"].paragraphs == ["سطر", "ثان"] and rows["b.docx"].raw_text == "x"
     assert rows["c.docx"].error and rows["d.exe"].error.startswith("unsupported")
     assert D.paragraphs(D.read_documents(spark, str(tmp_path))).count() == 3
+    assert [r.extension for r in D.unsupported_files(spark, str(tmp_path)).collect()] == ["exe"]
+    only = D.read_documents(spark, str(tmp_path), extensions=("docx",))
+    assert sorted(r.filename for r in only.collect()) == ["b.docx", "c.docx"]
+    assert sorted(r.batch for r in D.file_batches(only.select("path"), 1).collect()) == [0, 1]
+
+
+def test_pages(spark):
+    df = spark.createDataFrame([("a", "one\f\ftwo"), ("b", None), ("c", " ")], "path string, raw_text string")
+    assert sorted(map(tuple, D.pages(df).collect())) == [("a", 1, "one"), ("a", 3, "two")]
+
+
+def test_registry_is_saved_and_loaded(spark, tmp_path):
+    path = str(tmp_path / "registry")
+    assert R.load_registry(spark, path).count() == 0
+    rows = spark.createDataFrame([("1", "l", "a"), ("2", "l", "a"), ("2", "l", "a")], "chunk_id string, law string, article string")
+    R.save_registry(rows, path)
+    assert sorted(map(tuple, R.load_registry(spark, path).collect())) == [("1", "l", "a"), ("2", "l", "a")]
+    head = R.registry_head(spark, path).first()
+    assert (head.schema_version, head.chunk_count, head.n_laws) == (1, 2, 1)
+
+
+def test_json_tables_are_updated(spark, tmp_path):
+    path = str(tmp_path / "t")
+    make = lambda rows: spark.createDataFrame(rows, "id string, n int")
+    R.update_records(make([("a", 1), ("b", 2)]), path, ["id"])
+    R.update_records(make([("b", 3), ("c", 4)]), path, ["id"])
+    assert sorted((r.id, r.n) for r in spark.read.json(path).collect()) == [("a", 1), ("b", 3), ("c", 4)]
+
+
+def test_chunk_index_replaces_a_source(spark, tmp_path):
+    path = str(tmp_path / "index")
+    make = lambda rows: spark.createDataFrame(rows, "chunk_id string, source_file string, text string")
+    R.index_chunks(make([("1", "f", "a"), ("2", "f", "b"), ("3", "g", "c"), ("3", "g", "c")]), path)
+    R.index_chunks(make([("9", "f", "z"), ("9", "f", "y")]), path)
+    got = sorted((r.chunk_id, r.source_file, r.text) for r in spark.read.parquet(path).collect())
+    assert got == [("3", "g", "c"), ("9", "f", "y"), ("9-dup-1", "f", "z")]
 
 
 def test_chunk_records(spark, tmp_path):

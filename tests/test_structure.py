@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from sijill.functions import extract as X
+from sijill.functions.dialect import column
 from sijill.operators import structure as S
 
 
@@ -18,10 +19,12 @@ def test_items_and_sections(spark):
     assert one(spark, None, lambda c: S.sections(S.paragraphs(c))) == [] and one(spark, "", lambda c: S.numbered_items(S.paragraphs(c))) == []
 
 
-def test_clean_document():
+def test_clean_document(spark):
+    clean = lambda t: one(spark, t, lambda c: column(S.cleaned_text, "t"))
     pages = "\f".join(f"ترويسة\nنص {i} ,\t5 6\nصفحة {i}" for i in range(4))
-    assert S.clean_document(pages) == "\n".join(f"نص {i}, 5 6" for i in range(4))
-    assert S.clean_document(None) == "" and S.clean_document("a\n\n\n\nb") == "a\n\nb"
+    assert clean(pages) == "\n".join(f"نص {i}, 5 6" for i in range(4))
+    assert clean(None) == "" and clean("a\n\n\n\nb") == "a\n\nb" and clean("1   2 \n 3  4") == "1 2 3 4"
+    assert clean("h\nx\fh\ny") == "h\nx\nh\ny"
 
 
 def test_extraction(spark):
