@@ -15,8 +15,8 @@ from sijill.session import materialize
 K1, B = 1.5, 0.75
 #: Queries held by a worker at once; more are scored block after block.
 BLOCK = 4_096
-#: Parts into which the postings of one term are dealt, so that a term in every text isn't one task's.
-SALTS = 8
+#: Postings of one term that a task takes; those of a term in every text are dealt over salts.
+POSTINGS = 200_000
 # Phrases that name something, and words whose neighbourhood does.
 SIGNAL_PATTERNS = [
     *map(bounded, [r"[0-9]{1,2}\s*/\s*[0-9]{1,2}\s*/\s*[0-9]{4}", r"[0-9]{1,5}\s*/\s*[0-9]{1,5}(?:\s*/\s*[0-9]{2,4})?", r"(?:19|20)[0-9]{2}", r"[0-9]{1,6}(?:\.[0-9]{3})*(?:\.[0-9]+)?"]),
@@ -24,29 +24,7 @@ SIGNAL_PATTERNS = [
     r"(?:منتوج|مادة|ماده)\s+[\x{0600}-\x{06ff} ]{2,40}", r"زيت\s+[\x{0600}-\x{06ff} ]{2,25}", r"مجلس\s+الوزراء(?:\s+العراقي)?",
 ]
 SIGNAL_WORDS = ["قرار", "كتاب", "رقم", "وزاره", "وزارة", "شركة", "منتوج"]
-# The words by which a question shows what it is after (in searched form).
-INTENTS = {
-    "source_book": "كتاب|اعتمد|استند|استناد|بناء|المرقم بالعدد|المورخ في",
-    "amount": "مبلغ|مقداره|نسبة|النسبة|دينار|دولار|سعر|كلفة|تكلفة|اصبح|بدلا من",
-    "date": "تاريخ|متي|صدر|صدور|المورخ|جلسة|انعقاد",
-    "decision_number": "رقم القرار|قرار مجلس الوزراء|رقم قرار|قرر مجلس الوزراء",
-    "responsibility": "جهة|مسوول|تتحمل|تنفذ|تنفيذ|وزارة|شركة|لجنة",
-    "summary": "مضمون|محتوي|ملخص|خلاصة|ما الذي قرر|ماذا قرر|الموافقة",
-    "count": "عدد|اعداد|مجموع|اجمالي",
-    "comparison": "بين|جهتين|ابرم|ابرام|كان من المقرر",
-}
-EXPANSIONS = {
-    "source_book": "كتاب المرقم بالعدد المؤرخ في بناء على استنادا الى استنادا إلى اعتمد عليه",
-    "amount": "مبلغ بمبلغ مقداره مقدار نسبة النسبة النسبة المثبتة الى اي نسبة إلى أي نسبة عدلت عُدلت دينار دولار سعر كلفة تكلفة اصبح بدلا من",
-    "date": "تاريخ المؤرخ في صدر صدور جلسة انعقاد تاريخ صدور القرار تاريخ انعقاد الجلسة",
-    "decision_number": "رقم القرار رقم قرار مجلس الوزراء قرر مجلس الوزراء decision_number",
-    "responsibility": "الجهة المسؤولة تتحمل تنفيذ تنفذ وزارة شركة لجنة الالتزامات الاجراءات",
-    "summary": "مضمون محتوى ملخص خلاصة قرر مجلس الوزراء الموافقة اولا ثانيا",
-    "count": "كم عدد عدد اعداد أعداد مجموع اجمالي إجمالي كل جميع كافة القرارات الوثائق البنود المواد",
-    "comparison": "بين اي بين أي بين اي جهتين بين أي جهتين جهتين كان من المقرر إبرام عقد ابرام إبرام أبرم أُبرم عقد تعاقد اتفاق وزارة شركة جهة طرف",
-}
 # Weights of the layers' scores and of the rerank.
-LEXICAL_WEIGHTS = {"bm25": 0.45, "lexical": 0.25, "signal": 0.20, "intent": 0.10}
 RERANK_WEIGHTS = {"semantic": 0.25, "bm25": 0.28, "lexical": 0.19, "signal": 0.20, "intent": 0.08}
 LAYER_BONUS = {"metadata": 0.08, "lexical": 0.05, "semantic": 0.03}
 NEAR_DUPLICATE = 0.85
@@ -68,6 +46,26 @@ def term_frequencies(df: DataFrame, key: str, text: str) -> DataFrame:
     return term_rows(df, key, text).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def bm25_part() -> Column:
+    """What one term adds to a row's Okapi BM25, from times, n, df, tf, dl and avgdl."""
+    return F.col("times") * F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+
+
+def scored_postings(asked: DataFrame, index: DataFrame, docs: DataFrame) -> DataFrame:
+    """(query_id, doc_id, bits, part, w) for each asked term of each row that holds it.
+
+    asked: query_id, term, times, w; index: doc_id, term, tf; docs: doc_id, dl, bits of all
+    rows. Only postings of asked terms go further. A term with more than POSTINGS of them
+    is dealt over as many salts as that takes; only its askers are copied.
+    """
+    n, total = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
+    postings = index.join(asked.select("term").distinct(), "term", "left_semi")
+    df = materialize(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "df").withColumn("salts", F.ceil(F.col("df") / POSTINGS).cast("int"))
+    weighted = asked.join(df, "term").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts").withColumn("n", F.lit(n)).withColumn("avgdl", F.lit(float(total) / n if n else 0.0))
+    dealt = postings.join(df.select("term", "salts"), "term").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int")).drop("salts").join(docs, "doc_id")
+    return dealt.join(weighted, ["term", "salt"]).select("query_id", "doc_id", "bits", bm25_part().alias("part"), "w")
+
+
 def bm25(queries: DataFrame, docs: DataFrame, k: int | None = 10) -> DataFrame:
     """(query_id, doc_id, score, place): Okapi BM25 of every text that shares a term, as a share of the query's best.
 
@@ -79,15 +77,8 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int | None = 10) -> DataFrame:
     """
     index = materialize(term_frequencies(docs, "doc_id", "text"), "index")
     lengths = index.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
-    stats = docs.agg(F.count(F.lit(1)).alias("n")).crossJoin(lengths.agg(F.sum("dl").alias("total"))).select("n", (F.col("total") / F.col("n")).alias("avgdl"))  # one row each
     asked = term_frequencies(queries, "query_id", "text").withColumnRenamed("tf", "times")
-    postings = index.join(asked.select("term").distinct(), "term", "left_semi")
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weighted = asked.join(df, "term").crossJoin(F.broadcast(stats))
-    salted = weighted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    dealt = postings.join(lengths, "doc_id").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    part = F.col("times") * F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    raw = dealt.join(salted, ["term", "salt"]).groupBy("query_id", "doc_id").agg(F.sum(part).alias("raw"))
+    raw = scored_postings(asked.withColumn("w", F.lit(1.0)), index, docs.select("doc_id").join(lengths, "doc_id", "left").select("doc_id", F.coalesce("dl", F.lit(0)).alias("dl"), F.lit(0).alias("bits"))).groupBy("query_id", "doc_id").agg(F.sum("part").alias("raw"))
     best = raw.groupBy("query_id").agg(F.max("raw").alias("best"))
     scored = raw.join(best, "query_id").select("query_id", "doc_id", F.round(F.col("raw") / F.col("best"), 6).alias("score"))
     return top_k(scored, "query_id", [F.desc("score"), F.asc("doc_id")], k)
@@ -133,46 +124,18 @@ def signal_score(q_signals: Column, d_norm: Column, d_tokens: Column) -> Column:
     return F.when(total > 0, F.aggregate(q_signals, zero, lambda a, s: a + weight(s) * found(s)) / total).otherwise(0.0)
 
 
-def intents(norm: Column) -> Column:
-    """What a normalised question is after."""
-    return F.array_compact(F.array(*[F.when(norm.rlike(p), F.lit(k)) for k, p in INTENTS.items()]))
-
-
-def intent_score(q_intents: Column, d_tokens: Column) -> Column:
-    """Share of the intents whose words the text has."""
-    has = [F.when(F.array_contains(q_intents, k), F.arrays_overlap(A.search_tokens(F.lit(v)), d_tokens).cast("int")).otherwise(0) for k, v in EXPANSIONS.items()]
-    n = F.size(q_intents)
-    return F.when(n > 0, sum(has[1:], has[0]) / n).otherwise(0.0)
-
-
-def hybrid_rerank(queries: DataFrame, docs: DataFrame, candidates: int = 80, k: int = 5) -> DataFrame:
-    """(query_id, doc_id, score, place): the best k of each query's lexical candidates after reranking.
-
-    Near copies of a better candidate (token overlap of 0.85) give way, and fill up at
-    the end where nothing else is left. A query has at most `candidates` candidates, so
-    its fold is bounded.
-    """
-    layer = bm25(queries, docs, candidates)
-    q = queries.select("query_id", A.normalize_search(F.col("text")).alias("q_norm"))
-    q = q.withColumn("q_tokens", F.array_distinct(A.search_tokens(F.col("q_norm"), True))).withColumn("q_signals", signals(F.col("q_norm"))).withColumn("q_intents", intents(F.col("q_norm")))
-    d = docs.join(layer.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", A.normalize_search(F.col("text")).alias("d_norm"))
-    d = d.withColumn("d_tokens", F.array_distinct(A.search_tokens(F.col("d_norm"), True)))
-    pairs = layer.withColumnRenamed("score", "bm25").drop("place").join(q, "query_id").join(d, "doc_id")
-    lexical = lexical_relevance(F.col("q_norm"), F.col("q_tokens"), F.col("d_norm"), F.col("d_tokens"))
-    pairs = pairs.withColumn("lexical", lexical).withColumn("signal", signal_score(F.col("q_signals"), F.col("d_norm"), F.col("d_tokens"))).withColumn("intent", intent_score(F.col("q_intents"), F.col("d_tokens")))
-    layer_score = sum((F.col(c) * w for c, w in LEXICAL_WEIGHTS.items()), F.lit(0.0))
-    distance = F.greatest(F.lit(0.0), 1 - F.least(layer_score, F.lit(1.0)))
-    score = F.lit(RERANK_WEIGHTS["semantic"]) / (1 + distance) + sum((F.col(c) * RERANK_WEIGHTS[c] for c in ("bm25", "lexical", "signal", "intent")), F.lit(0.0)) + LAYER_BONUS["lexical"]
-    ranked = pairs.select("query_id", F.struct(F.round(-score, 6).alias("minus"), "doc_id", "d_tokens").alias("c"))
-    listed = ranked.groupBy("query_id").agg(F.array_sort(F.collect_list("c")).alias("cs"))
+def without_near_copies(ranked: DataFrame, k: int) -> DataFrame:
+    """(query_id, doc_id, score, place): the best k, of which none overlaps a better one by NEAR_DUPLICATE; copies fill up where nothing else is left. ranked: query_id, doc_id, score, tokens."""
+    listed = ranked.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "doc_id", "tokens"))).alias("cs"))
 
     def overlaps(x, y):
-        both = F.size(F.array_union(x["d_tokens"], y["d_tokens"]))
-        return F.coalesce(F.size(F.array_intersect(x["d_tokens"], y["d_tokens"])) / F.nullif(both, F.lit(0)), F.lit(0.0)) >= NEAR_DUPLICATE
+        both = F.size(F.array_union(x["tokens"], y["tokens"]))
+        return F.coalesce(F.size(F.array_intersect(x["tokens"], y["tokens"])) / F.nullif(both, F.lit(0)), F.lit(0.0)) >= NEAR_DUPLICATE
 
     empty = F.filter(F.col("cs"), lambda c: F.lit(False))
     kept = F.aggregate("cs", empty, lambda acc, c: F.when((F.size(acc) >= k) | F.exists(acc, lambda a: overlaps(c, a)), acc).otherwise(F.concat(acc, F.array(c))))
-    chosen = listed.withColumn("kept", kept).withColumn("all", F.slice(F.concat("kept", F.filter("cs", lambda c: ~F.array_contains(F.transform("kept", lambda a: a["doc_id"]), c["doc_id"]))), 1, k))
+    rest = F.filter("cs", lambda c: ~F.array_contains(F.transform("kept", lambda a: a["doc_id"]), c["doc_id"]))
+    chosen = listed.withColumn("kept", kept).withColumn("all", F.slice(F.concat("kept", rest), 1, k))
     return chosen.select("query_id", F.posexplode("all").alias("pos", "c")).select("query_id", "c.doc_id", (-F.col("c.minus")).alias("score"), (F.col("pos") + 1).alias("place"))
 
 
@@ -195,8 +158,11 @@ def vector_top_k(queries: DataFrame, vectors: DataFrame, key: str, field: str, m
             ids, q = shared.value
             qn = np.sqrt((q * q).sum(1))
             for batch in batches:
+                if not batch.num_rows:
+                    continue
                 keys = batch.column(0).to_numpy(zero_copy_only=False)
-                x = np.array(batch.column(1).to_pylist(), np.float64)
+                flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
+                x = flat.reshape(len(keys), -1).astype(np.float64)
                 dot = q @ x.T
                 if metric == "cosine":
                     norm = qn[:, None] * np.sqrt((x * x).sum(1))[None]

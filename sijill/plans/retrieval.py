@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 
 from sijill.functions import arabic as A
 from sijill.functions import extract as X
+from sijill.functions.dialect import DUCK, column
+from sijill.operators import questions as Q
+from sijill.operators import records as P
 from sijill.operators import retrieval as R
+from sijill.operators import search as Z
 from sijill.session import table
 
 
@@ -25,8 +29,32 @@ def bm25_topk(spark, folder):
     return R.bm25(_questions(spark, folder), _chunks(spark, folder), 10).select("query_id", "doc_id", "score")
 
 
+def _rows(spark, folder):
+    """Chunks as they are searched, with what their metadata add."""
+    rows = table(spark, folder, "chunks")
+    meta = column(lambda q, *_: P.metadata_text(q), "row_id")
+    key = F.coalesce(F.nullif(F.trim("document_id"), F.lit("")), "source_file", "document_title", F.substring("text", 1, 160))
+    return rows.select(F.col("row_id").alias("doc_id"), "text", meta.alias("meta"), F.coalesce("section_title", "article_reference").alias("section"), A.normalize_search(key).alias("document_key"))
+
+
+def search_every(spark, folder, every: int = 50):
+    """The flagship: the best five chunks of each question through all layers, for every so-many-th record as a question."""
+    asked = table(spark, folder, "search_records").where(f"search_id % {every} = 0").select(F.col("search_id").alias("query_id"), F.col("title").alias("text"))
+    return Z.search(asked, _rows(spark, folder))
+
+
 def hybrid_rerank(spark, folder):
-    return R.hybrid_rerank(_questions(spark, folder), _chunks(spark, folder))
+    return search_every(spark, folder)
+
+
+def metadata_candidates(spark, folder):
+    meta = Z.searched(_rows(spark, folder).select("doc_id", F.col("meta").alias("text")))
+    return Z.metadata_candidates(Z.asked(_questions(spark, folder)), meta, R.term_frequencies(meta, "doc_id", "norm")).select("query_id", "doc_id", "score")
+
+
+def lexical_candidates(spark, folder):
+    docs = Z.searched(_chunks(spark, folder))
+    return Z.lexical_candidates(Z.asked(_questions(spark, folder)), docs, R.term_frequencies(docs, "doc_id", "norm")).select("query_id", "doc_id", "score")
 
 
 def lexical_relevance(spark, folder):
@@ -39,7 +67,7 @@ def lexical_relevance(spark, folder):
 
 def question_signals(spark, folder):
     norm = table(spark, folder, "search_records").select(F.col("search_id").alias("query_id"), A.normalize_search(F.col("title")).alias("n"))
-    return norm.select("query_id", F.array_join(R.signals(F.col("n")), " | ").alias("signals"), F.array_join(R.intents(F.col("n")), " | ").alias("intents"))
+    return norm.select("query_id", F.array_join(R.signals(F.col("n")), " | ").alias("signals"), F.array_join(column(Q.intents, "n"), " | ").alias("intents"))
 
 
 def vector_topk_l2(spark, folder):
@@ -101,7 +129,7 @@ def extractive_summary_all(spark, folder):
     return _summaries(spark, folder, table(spark, folder, "search_records"))
 
 
-QUERIES = {f.__name__: f for f in (bm25_topk, hybrid_rerank, lexical_relevance, question_signals, vector_topk_l2, vector_topk_cosine, exact_law_lookup, supporting_sources, answer_number_validation, extractive_summary, extractive_summary_all)}
+QUERIES = {f.__name__: f for f in (bm25_topk, hybrid_rerank, metadata_candidates, lexical_candidates, lexical_relevance, question_signals, vector_topk_l2, vector_topk_cosine, exact_law_lookup, supporting_sources, answer_number_validation, extractive_summary, extractive_summary_all)}
 
 _Q = f"q AS (SELECT search_id AS query_id, unnest({A.search_tokens_sql('title')}) AS term FROM search_records WHERE search_id % 50 = 0)"
 _CITED = "c AS (SELECT chunk_id, arg_max(text, row_id) AS text FROM chunks WHERE text IS NOT NULL AND chunk_id IS NOT NULL GROUP BY chunk_id), j AS (SELECT entry_id, legal_reference, text FROM citation_registry JOIN c USING (chunk_id) WHERE legal_reference IS NOT NULL)"
@@ -110,6 +138,8 @@ _WORDS = r"list_distinct(list_filter(regexp_extract_all({0}, '[\p{{L}}\p{{N}}_\x
 _VEC = "SELECT query_id, vec_id, distance FROM (SELECT query_id, vec_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS n FROM (SELECT q.vec_id AS query_id, v.vec_id, round({0}, 4) AS distance FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0)) WHERE n <= 10"
 _NUM = f"list_distinct(regexp_extract_all({A.fold_digits_sql('{0}')}, '[0-9]+'))"
 SQL = {
+    "metadata_candidates": Z.metadata_sql("search_id % 50 = 0", f"SELECT row_id AS doc_id, {P.metadata_text(DUCK)} AS meta FROM chunks"),
+    "lexical_candidates": Z.lexical_sql("search_id % 50 = 0", "SELECT row_id AS doc_id, text FROM chunks"),
     "bm25_topk": f"WITH {_Q}, a AS (SELECT query_id, term, count(*) AS times FROM q GROUP BY 1, 2), d AS (SELECT row_id AS doc_id, {A.search_tokens_sql('text')} AS tokens FROM chunks), s AS (SELECT count(*) AS n, avg(len(tokens)) AS avgdl FROM d), "
     "p AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(tokens) AS dl, unnest(tokens) AS term FROM d) WHERE term IN (SELECT term FROM a) GROUP BY 1, 2, 3), f AS (SELECT term, count(*) AS df FROM p GROUP BY 1), "
     f"r AS (SELECT query_id, doc_id, sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * {R.K1 + 1} / (tf + {R.K1} * ({1 - R.B} + {R.B} * dl / avgdl))) AS raw FROM p JOIN f USING (term) JOIN a USING (term), s GROUP BY 1, 2), "

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from sijill.functions import arabic as A
 from sijill.operators import registry as G
 from sijill.operators import retrieval as R
+from sijill.operators import search as Z
 
 
 def one(spark, text, col):
@@ -36,11 +37,46 @@ def test_signals(spark):
     assert got[:1] == ["5/6/2005"] and "13" in got and "مجلس الوزراء" in got and "2005" in got
 
 
-def test_rerank_drops_near_copies_last(spark):
-    docs = spark.createDataFrame([(1, "قرار منح الاجازة رقم 13 لسنة 2005"), (2, "قرار منح الاجازة رقم 13 لسنة 2005 "), (3, "كتاب عن الاجازة والسفر والماء")], "doc_id long, text string")
-    q = spark.createDataFrame([(7, "قرار الاجازة رقم 13")], "query_id long, text string")
-    assert [r.doc_id for r in R.hybrid_rerank(q, docs, 80, 2).orderBy("place").collect()] == [1, 3]
-    assert [r.doc_id for r in R.hybrid_rerank(q, docs, 80, 3).orderBy("place").collect()] == [1, 3, 2]
+def chunk_rows(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string, meta string, section string, document_key string")
+
+
+def test_search_drops_near_copies_last(spark):
+    text = "قرار منح الاجازة رقم 13 لسنة 2005"
+    rows = chunk_rows(spark, [(1, text, "", None, "a"), (2, text + " ", "", None, "a"), (3, "كتاب عن الاجازة والسفر والماء", "", None, "b"), (4, None, "", None, "c"), (5, "", None, None, "d")])
+    q = spark.createDataFrame([(7, "قرار الاجازة رقم 13"), (8, None), (9, "")], "query_id long, text string")
+    got = [(r.query_id, r.doc_id) for r in Z.search(q, rows, 2).orderBy("query_id", "place").collect()]
+    assert [d for i, d in got if i == 7] == [1, 3]
+    assert [r.doc_id for r in Z.search(q.where("query_id = 7"), rows, 3).orderBy("place").collect()][:3] == [1, 3, 2]
+    assert Z.search(q.limit(0), rows).count() == 0 and Z.search(q, rows.limit(0)).count() == 0
+
+
+def test_several_documents_give_one_row_each(spark):
+    rows = chunk_rows(spark, [(i, f"القرارات التي صدرت بشأن النفط {i}", "", None, "a" if i < 3 else "b") for i in range(5)])
+    q = spark.createDataFrame([(7, "ما القرارات التي صدرت بشأن النفط 4")], "query_id long, text string")
+    got = Z.search(q, rows).collect()
+    assert len(got) == 2 and {r.doc_id for r in got} & {3, 4} and {r.doc_id for r in got} & {0, 1, 2}
+
+
+def test_weak_sections_are_put_back(spark):
+    rows = chunk_rows(spark, [(1, "رقم العقد 55", "", "header", "a"), (2, "رقم العقد 55 .", "", None, "b")])
+    q = spark.createDataFrame([(7, "رقم عقد 55")], "query_id long, text string")
+    scores = {r.doc_id: r.score for r in Z.search(q, rows, 2).collect()}
+    assert abs(scores[2] - scores[1] - Z.PENALTY) < 0.02
+
+
+def test_metadata_names_rows_that_the_text_does_not(spark):
+    rows = chunk_rows(spark, [(1, "نص لا يذكر شيئا", "قرار رقم 977 لسنة 2011", None, "a"), (2, "نص اخر تماما", "", None, "b")])
+    q = spark.createDataFrame([(7, "ما مضمون القرار رقم 977")], "query_id long, text string")
+    assert Z.search(q, rows, 1).first().doc_id == 1
+
+
+def test_frequent_terms_are_dealt(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"قرار النفط {i % 3}") for i in range(20)], "doc_id long, text string")
+    q = spark.createDataFrame([(7, "قرار النفط 1")], "query_id long, text string")
+    want = sorted(map(tuple, R.bm25(q, docs, None).collect()))
+    monkeypatch.setattr(R, "POSTINGS", 3)
+    assert sorted(map(tuple, R.bm25(q, docs, None).collect())) == want
 
 
 def test_vectors(spark):
