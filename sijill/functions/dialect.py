@@ -57,6 +57,10 @@ class Dialect:
     def all(self, x: str, pattern: str, group: int = 0) -> str:
         return f"regexp_extract_all({x}, {self.s(pattern)}, {group})"
 
+    def whole(self, x: str, pattern: str) -> str:
+        """All matches that don't stand inside a longer word or number; for patterns of ASCII letters, digits and marks."""
+        return self.all(x, rf"(?<![\p{{L}}\p{{N}}_])({pattern})(?![\p{{L}}\p{{N}}_])", 1)
+
     def sub(self, x: str, pattern: str, by: str) -> str:
         """All matches replaced; `\\1` stands for a group."""
         return f"regexp_replace({x}, {self.s(pattern)}, {self.s(re.sub(r'\\(\d)', r'$\1', by))})"
@@ -200,6 +204,12 @@ class Duck(Dialect):
     def sub(self, x: str, pattern: str, by: str) -> str:
         return f"regexp_replace({x}, {self.s(pattern)}, {self.s(by)}, 'g')"
 
+    def whole(self, x: str, pattern: str) -> str:
+        # this engine looks neither back nor ahead and bounds ASCII words only: letters of other scripts get one between them and the match
+        other = r"[\x{00C0}-\x{024F}\x{0620}-\x{065F}\x{066E}-\x{06D3}\x{06FA}-\x{06FF}]"
+        guarded = self.sub(self.sub(x, rf"({other})([0-9A-Za-z_])", r"\1x\2"), rf"([0-9A-Za-z_])({other})", r"\1x\2")
+        return self.all(guarded, rf"\b({pattern})\b", 1)
+
     def split(self, x: str, pattern: str) -> str:
         return f"string_split_regex({x}, {self.s(pattern)})"
 

@@ -66,7 +66,7 @@ def number(q: Dialect, x: str) -> str:
 
 
 def year(q: Dialect, x: str) -> str:
-    return f"CAST(nullif({ascii_digits(q, q.find(x, r'(?:لسنة|سنة|\()\s*([٠-٩0-9]{4})(?:\)|\s|$)', 1))}, '') AS BIGINT)"
+    return f"CAST(nullif({ascii_digits(q, q.find(x, r'(?:لسنة|سنة|\()([٠-٩0-9]{4})(?:\)|\s|$)', 1))}, '') AS BIGINT)"
 
 
 def categories(q: Dialect, x: str) -> str:

@@ -103,11 +103,6 @@ def matches(q: Dialect, x: str, patterns: list[str]) -> str:
     return "(" + " OR ".join(q.match(x, p) for p in patterns) + ")"
 
 
-def whole(q: Dialect, pattern: str) -> str:
-    """A pattern not inside a longer word or number, as group 1; without look-around where the engine has none."""
-    return B + f"({pattern})" + E if q.duck else rf"(?<![\p{{L}}\p{{N}}_])({pattern})(?![\p{{L}}\p{{N}}_])"
-
-
 def intents(q: Dialect, norm: str) -> str:
     """Names of the intents of a question in searched form, in alphabetical order."""
     flags = [f"CASE WHEN {q.any(norm, searched(INTENT_TERMS[k]))}" + (f" OR {matches(q, norm, INTENT_PATTERNS[k])}" if k in INTENT_PATTERNS else "") + f" THEN '{k}' END" for k in sorted(INTENT_TERMS)]
@@ -116,7 +111,7 @@ def intents(q: Dialect, norm: str) -> str:
 
 def signals(q: Dialect, norm: str) -> str:
     """Identifiers and named things in a question in searched form, in order, each once."""
-    numbers = [q.all(norm, whole(q, p), 1) for p in SIGNALS]
+    numbers = [q.whole(norm, p) for p in SIGNALS]
     phrases = [q.all(norm, p) for p in SIGNAL_PHRASES]
     found = q.each(q.concat(*numbers, *phrases), "v", "trim(v)")
     return q.unique(q.keep(found, "v", "v <> ''"))
@@ -162,8 +157,10 @@ def date_field(q: Dialect, question: str) -> str:
 
 def required_markers(q: Dialect, question: str) -> str:
     """Codes, dates and grouped numbers that an answer's context must hold."""
-    x = q.text(question)
-    return q.unique(q.concat(*[q.all(x, whole(q, p), 1) for p in MARKERS]))
+    from sijill.functions import arabic as A
+
+    x = q.fold(q.text(question), A.DIGITS)
+    return q.unique(q.concat(*[q.whole(x, p) for p in MARKERS]))
 
 
 def missing_markers(q: Dialect, markers: str, context: str) -> str:
