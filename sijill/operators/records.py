@@ -82,6 +82,14 @@ def chunk_records(q: Dialect) -> str:
     )
 
 
+def search_context(q: Dialect) -> str:
+    """The different values by which each record is found, joined, up to the reference's 1,200 characters."""
+    fields = [q.text(c) for c in ("title", "document_type", "decision_number", "year", "issue_date", "session_number", "session_date")]
+    entities = f"coalesce(entities, {q.keep(q.list(q.s('')), 'v', 'false')})"
+    values = q.unique(q.keep(q.concat(q.list(*fields), entities), "v", "v IS NOT NULL AND v <> ''"))
+    return f"SELECT search_id, {q.cut(q.join(values, ' | '), 1200)} AS context FROM {q.table('search_records')}"
+
+
 def chunk_citations(q: Dialect) -> str:
     """The citation of every chunk row that has an id and a source."""
     own = f"SELECT row_id, {', '.join(f'{v} AS {k}' for k, v in citation(q).items())} FROM {q.table('chunks')}"

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sijill.session import materialize
+
 
 def first_text(*cols: Column) -> Column:
     """The first that isn't null or blank, trimmed; empty where none is."""
@@ -49,6 +51,41 @@ def unique_ids(df: DataFrame, key: str, order: str, out: str = "unique_id") -> D
     return df.withColumn(out, F.when(n > 0, F.concat(F.col(key), F.lit("-dup-"), n.cast("string"))).otherwise(F.col(key)))
 
 
+def numbered(df: DataFrame, key: str, order: str, width: int = 100_000) -> DataFrame:
+    """Adds `place`: each row's number within its key, in order of a whole-number column.
+
+    Rows are numbered inside ranges of the order, and the ranges' sizes are added up, so a
+    key that a third of all rows share is spread over as many tasks as it has ranges.
+    """
+    ranged = df.withColumn("_range", F.floor(F.col(order) / width))
+    sizes = ranged.groupBy(key, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(W.partitionBy(key).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    within = ranged.withColumn("_within", F.row_number().over(W.partitionBy(key, "_range").orderBy(order)))
+    return within.join(before, [key, "_range"]).withColumn("place", F.col("_within") + F.col("_before")).drop("_range", "_within", "_before")
+
+
+def most_shared(asked: DataFrame, rows: DataFrame) -> DataFrame:
+    """(query_id, search_id, document_id, score): the rows that share most words with each question, and some that share fewer.
+
+    asked: query_id, ws; rows: search_id, document_id, ws, different words each. Exact for
+    the best: a first look by each question's two rarest words gives a score s that some
+    row reaches; a row that reaches it too has one of the question's n - s + 1 rarest
+    words, so frequent words are looked up only where nothing rarer decides.
+    """
+    postings = rows.select("search_id", F.explode("ws").alias("word"))
+    words = asked.select("query_id", F.size("ws").alias("n"), F.explode("ws").alias("word"))
+    df = postings.join(words.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    # a word of no other row decides nothing
+    ranked = materialize(words.join(df, "word").withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("df", "word"))).withColumn("rare", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("df") < 2, "df", "word"))), "ranked-words")
+
+    def scored(chosen: DataFrame) -> DataFrame:
+        pairs = chosen.select("query_id", "word").join(postings, "word").where("search_id <> query_id").select("query_id", "search_id").distinct()
+        return pairs.join(asked, "query_id").join(rows.withColumnRenamed("ws", "own"), "search_id").select("query_id", "search_id", "document_id", F.size(F.array_intersect("ws", "own")).cast("long").alias("score"))
+
+    floor = scored(ranked.where("rare <= 2")).groupBy("query_id").agg(F.max("score").alias("floor"))
+    return scored(ranked.join(floor, "query_id", "left").where(F.col("rank") <= F.col("n") - F.coalesce("floor", F.lit(1)) + 1))
+
+
 def upsert(current: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of `current` whose key isn't changed, and all changes; columns by name."""
     return current.join(changes.select(*keys).distinct(), keys, "left_anti").unionByName(changes)

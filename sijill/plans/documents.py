@@ -19,14 +19,7 @@ def stable_document_id(spark, folder):
     return table(spark, folder, "search_records").select("search_id", ids.alias("stable_id"))
 
 
-def search_record_context(spark, folder):
-    """The different values by which a record is found, joined."""
-    fields = [F.coalesce(F.col(c), F.lit("")) for c in ("title", "document_type", "decision_number", "year", "issue_date", "session_number", "session_date")]
-    values = F.filter(F.array_distinct(F.concat(F.array(*fields), F.coalesce("entities", F.array().cast("array<string>")))), lambda v: v.isNotNull() & (v != ""))
-    return table(spark, folder, "search_records").select("search_id", F.substring(F.array_join(values, " | "), 1, 1200).alias("context"))
-
-
-QUERIES = {f.__name__: f for f in (chunk_overlap, chunk_sentence_pack, stable_document_id, search_record_context)}
+QUERIES = {f.__name__: f for f in (chunk_overlap, chunk_sentence_pack, stable_document_id)}
 SQL = {
     "stable_document_id": "SELECT search_id, 'legal_json_' || substring(sha1(coalesce(filename, '') || '|' || coalesce(year, '') || '|' || coalesce(title, '')), 1, 12) AS stable_id FROM search_records",
 }

@@ -24,9 +24,9 @@ def full_text_index(spark, folder):
 
 def question_document_match(spark, folder):
     """The document whose title shares most words with a question, if it is one alone; a question's own record doesn't count."""
-    words = table(spark, folder, "search_records").where("document_id IS NOT NULL").select("search_id", "document_id", F.explode(A.match_tokens(F.col("title"))).alias("word"))
-    asked = words.where("search_id % 50 = 0").select(F.col("search_id").alias("query_id"), "word")
-    shared = asked.join(words, "word").where("search_id <> query_id").groupBy("query_id", "document_id", "search_id").agg(F.count(F.lit(1)).alias("score"))
+    rows = table(spark, folder, "search_records").where("document_id IS NOT NULL").select("search_id", "document_id", A.match_tokens(F.col("title")).alias("ws"))
+    asked = rows.where("search_id % 50 = 0").select(F.col("search_id").alias("query_id"), "ws")
+    shared = R.most_shared(asked, rows.select("search_id", "document_id", "ws"))
     best = shared.groupBy("query_id", "document_id").agg(F.max("score").alias("score"))
     top = best.withColumn("place", F.rank().over(W.partitionBy("query_id").orderBy(F.desc("score")))).where("place = 1")
     return top.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("document_id").alias("document_id"), F.max("score").alias("score")).where("n = 1").drop("n")
@@ -37,9 +37,8 @@ def output_filenames(spark, folder):
     n = X.number_and_year(F.col("title"))
     part = lambda c, other: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit(other))
     stem = F.concat_ws("_", F.regexp_replace(part(F.col("document_type"), "document"), r"\s+", "_"), part(n["year"], "unknown"), part(n["number"], "unknown"))
-    rows = table(spark, folder, "search_records").select("search_id", stem.alias("stem"))
-    place = F.row_number().over(W.partitionBy("stem").orderBy("search_id"))
-    return rows.select("search_id", F.concat("stem", F.when(place > 1, F.concat(F.lit("_"), place.cast("string"))).otherwise(F.lit("")), F.lit(".json")).alias("filename"))
+    rows = R.numbered(table(spark, folder, "search_records").select("search_id", stem.alias("stem")), "stem", "search_id")
+    return rows.select("search_id", F.concat("stem", F.when(F.col("place") > 1, F.concat(F.lit("_"), F.col("place").cast("string"))).otherwise(F.lit("")), F.lit(".json")).alias("filename"))
 
 
 def citations_for_results(spark, folder):
@@ -49,13 +48,13 @@ def citations_for_results(spark, folder):
     return R.last_per_key(entries, ["chunk_id"], [F.col("entry_id")]).join(gone, "chunk_id")
 
 
-def document_scores_by_month(spark, folder):
+def chunk_counts_by_month(spark, folder):
     """Chunks, characters and different sources of each month and type."""
     rows = table(spark, folder, "chunks")
     return rows.groupBy(F.date_format("indexed_at", "yyyy-MM").alias("month"), "document_type").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum(F.length("text")).alias("n_chars"), F.countDistinct("source_file").alias("n_sources"))
 
 
-QUERIES = {f.__name__: f for f in (full_text_index, question_document_match, output_filenames, citations_for_results, document_scores_by_month)}
+QUERIES = {f.__name__: f for f in (full_text_index, question_document_match, output_filenames, citations_for_results, chunk_counts_by_month)}
 
 _N = lambda p: f"nullif({A.fold_digits_sql(f'''regexp_extract(coalesce(title, ''), '{p}', 1)''')}, '')"
 SQL = {
@@ -66,5 +65,5 @@ SQL = {
     "output_filenames": f"WITH s AS (SELECT search_id, concat_ws('_', regexp_replace(coalesce(nullif(trim(document_type), ''), 'document'), '\\s+', '_', 'g'), coalesce({_N(X.YEAR)}, 'unknown'), coalesce({_N(X.NUMBER)}, 'unknown')) AS stem FROM search_records), n AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY search_id) AS place FROM s) "
     "SELECT search_id, stem || CASE WHEN place > 1 THEN '_' || place ELSE '' END || '.json' AS filename FROM n",
     "citations_for_results": "SELECT chunk_id, entry_id, legal_reference, page_number FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY entry_id DESC) AS n FROM citation_registry WHERE chunk_id IS NOT NULL) WHERE n = 1 AND chunk_id IN (SELECT chunk_id FROM chunks WHERE is_deleted)",
-    "document_scores_by_month": "SELECT strftime(indexed_at AT TIME ZONE 'UTC', '%Y-%m') AS month, document_type, count(*) AS n_chunks, sum(length(text))::BIGINT AS n_chars, count(DISTINCT source_file) AS n_sources FROM chunks GROUP BY 1, 2",
+    "chunk_counts_by_month": "SELECT strftime(indexed_at AT TIME ZONE 'UTC', '%Y-%m') AS month, document_type, count(*) AS n_chunks, sum(length(text))::BIGINT AS n_chars, count(DISTINCT source_file) AS n_sources FROM chunks GROUP BY 1, 2",
 }

@@ -11,6 +11,7 @@ _ALL = {
     "chunk_citations": (R.chunk_citations, "chunks"),
     "derived_metadata": (R.derived, "loaded_legal_json"),
     "payload_errors": (R.payload_errors, "loaded_legal_json"),
+    "search_record_context": (R.search_context, "search_records"),
     "payload_metadata": (R.payload_fields, "loaded_legal_json"),
     "upload_summaries": (R.uploads, "chunks"),
 }

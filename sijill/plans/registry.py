@@ -40,9 +40,9 @@ def unique_ids_suffix(spark, folder):
 
 
 def replace_source_citations(spark, folder):
-    """The registry after each source whose chunks were indexed since 2024 was read again: its entries go, one for each chunk comes."""
+    """The registry after every source that has chunks was read again: its entries go, one for each chunk comes; other sources' stay."""
     entries = table(spark, folder, "citation_registry").select("source_file", F.trim("chunk_id").alias("chunk_id"))
-    fresh = R.citations(table(spark, folder, "chunks").where("indexed_at >= timestamp'2024-01-01 00:00:00'")).select("source_file", "chunk_id")
+    fresh = R.citations(table(spark, folder, "chunks")).select("source_file", "chunk_id")
     after = R.upsert(entries.where("source_file IS NOT NULL"), fresh, ["source_file"])
     return after.groupBy("source_file").agg(F.count(F.lit(1)).alias("n_entries"), F.countDistinct("chunk_id").alias("n_chunks"))
 
@@ -105,14 +105,6 @@ def repeated_page_edges(spark, folder):
     return counted.join(pages, "source_file").where(F.col("n") >= F.greatest(F.lit(2), F.floor(F.col("n_pages") / 2) + 1)).select("source_file", "line", "n")
 
 
-def best_document_per_question(spark, folder):
-    """For each party named as sender, the ministry it writes to most, if that is one."""
-    pairs = table(spark, folder, "decision_metadata").where("sender IS NOT NULL AND ministry IS NOT NULL").groupBy("sender", "ministry").agg(F.count(F.lit(1)).alias("score"))
-    ranked = pairs.withColumn("place", F.rank().over(W.partitionBy("sender").orderBy(F.desc("score"))))
-    top = ranked.where("place = 1").groupBy("sender").agg(F.count(F.lit(1)).alias("n"), F.min("ministry").alias("ministry"), F.max("score").alias("score"))
-    return top.where("n = 1").select("sender", "ministry", "score")
-
-
 def merge_layers(spark, folder):
     """Search records and their records' long texts as two layers over one document id."""
     meta = table(spark, folder, "search_records").where("document_id IS NOT NULL").groupBy("document_id").agg(F.max_by("title", "search_id").alias("title"), F.lit(None).cast("string").alias("text"), F.lit(0.4).cast("double").alias("distance"))
@@ -134,7 +126,7 @@ def audit_page(spark, folder):
     return table(spark, folder, "chunks").select("row_id", "source_file", "indexed_at").orderBy(F.desc("indexed_at"), F.desc("row_id")).offset(50).limit(50).select("row_id", "source_file")
 
 
-def review_status_upsert(spark, folder):
+def standing_upsert(spark, folder):
     """Deleted chunks as reviews that replace the standing of their id."""
     chunks = table(spark, folder, "chunks").where("chunk_id IS NOT NULL")
     current = chunks.select("chunk_id").distinct().withColumn("status", F.lit("pending"))
@@ -154,8 +146,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         citation_registry_build, law_article_map, registry_semi, registry_anti, registry_warnings, dedupe_last_wins, unique_ids_suffix, replace_source_citations, source_statistics,
-        group_concat_sections, carry_forward_article, section_islands, item_spans_lead, repeated_edge_lines, repeated_page_edges, best_document_per_question, merge_layers, categories_distinct,
-        keyword_filter, audit_page, review_status_upsert, source_text_precedence,
+        group_concat_sections, carry_forward_article, section_islands, item_spans_lead, repeated_edge_lines, repeated_page_edges, merge_layers, categories_distinct,
+        keyword_filter, audit_page, standing_upsert, source_text_precedence,
     )
 }
 
@@ -174,7 +166,7 @@ SQL = {
     "registry_warnings": "SELECT * FROM (SELECT entry_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN coalesce(trim({c}), '') = '' THEN 'missing {c}' END" for c in ("law_year", "law_name", "source_file")) + "], lambda v: v IS NOT NULL), '; ') AS warnings FROM citation_registry) WHERE warnings <> ''",
     "dedupe_last_wins": "SELECT chunk_id, row_id, page_number, is_deleted FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY indexed_at DESC NULLS LAST, row_id DESC) AS n FROM chunks WHERE chunk_id IS NOT NULL) WHERE n = 1",
     "unique_ids_suffix": "SELECT row_id, chunk_id, CASE WHEN n > 1 THEN chunk_id || '-dup-' || (n - 1) ELSE chunk_id END AS unique_id FROM (SELECT row_id, chunk_id, row_number() OVER (PARTITION BY chunk_id ORDER BY row_id) AS n FROM chunks WHERE chunk_id IS NOT NULL)",
-    "replace_source_citations": f"WITH f AS (SELECT source_file, chunk_id FROM ({_CIT.replace('FROM chunks WHERE', chr(70) + 'ROM chunks WHERE indexed_at >= TIMESTAMPTZ ' + chr(39) + '2024-01-01 00:00:00+00' + chr(39) + ' AND')})), a AS (SELECT source_file, trim(chunk_id) AS chunk_id FROM citation_registry WHERE source_file IS NOT NULL AND source_file NOT IN (SELECT source_file FROM f) UNION ALL SELECT * FROM f) SELECT source_file, count(*) AS n_entries, count(DISTINCT chunk_id) AS n_chunks FROM a GROUP BY source_file",
+    "replace_source_citations": f"WITH f AS (SELECT source_file, chunk_id FROM ({_CIT})), a AS (SELECT source_file, trim(chunk_id) AS chunk_id FROM citation_registry WHERE source_file IS NOT NULL AND source_file NOT IN (SELECT source_file FROM f) UNION ALL SELECT * FROM f) SELECT source_file, count(*) AS n_entries, count(DISTINCT chunk_id) AS n_chunks FROM a GROUP BY source_file",
     "source_statistics": "SELECT source_file, count(*) AS n_chunks, max(page_number) AS pages, sum(length(text))::BIGINT AS n_chars, count(*) FILTER (WHERE is_deleted) AS n_deleted FROM chunks GROUP BY source_file",
     "group_concat_sections": "SELECT document_id, string_agg(section_title, ' > ' ORDER BY chunk_index NULLS FIRST, row_id) AS sections FROM chunks WHERE document_id IS NOT NULL AND section_title IS NOT NULL GROUP BY document_id",
     "carry_forward_article": f"SELECT row_id, last_value(article_reference IGNORE NULLS) {_W[:-1]} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS article FROM chunks WHERE document_id IS NOT NULL",
@@ -183,11 +175,10 @@ SQL = {
     "item_spans_lead": f"SELECT row_id, chunk_index AS first_index, greatest(chunk_index, coalesce(nxt, total_chunks) - 1) AS last_index FROM (SELECT *, lead(chunk_index) {_W} AS nxt FROM chunks WHERE document_id IS NOT NULL AND article_reference IS NOT NULL)",
     "repeated_edge_lines": "WITH r AS (SELECT source_file, row_id, string_split(text, chr(10)) AS l FROM chunks WHERE text IS NOT NULL AND source_file IS NOT NULL), e AS (SELECT source_file, row_id, unnest(list_distinct([trim(l[1]), trim(l[-1])])) AS line FROM r), p AS (SELECT source_file, count(*) AS n_pages FROM r GROUP BY 1), "
     "c AS (SELECT source_file, line, count(*) AS n FROM e WHERE line <> '' GROUP BY 1, 2) SELECT c.source_file, c.line, c.n FROM c JOIN p USING (source_file) WHERE n >= greatest(2, floor(n_pages / 2))",
-    "best_document_per_question": "WITH p AS (SELECT sender, ministry, count(*) AS score FROM decision_metadata WHERE sender IS NOT NULL AND ministry IS NOT NULL GROUP BY 1, 2), r AS (SELECT *, rank() OVER (PARTITION BY sender ORDER BY score DESC) AS place FROM p) SELECT sender, min(ministry) AS ministry, max(score) AS score FROM r WHERE place = 1 GROUP BY sender HAVING count(*) = 1",
     "categories_distinct": "SELECT entity, count(*) AS n FROM (SELECT unnest(entities) AS entity FROM search_records) WHERE entity IS NOT NULL GROUP BY entity",
     "keyword_filter": "SELECT search_id, document_type FROM search_records WHERE len(list_filter(entities, lambda e: contains(lower(e), 'وزارة'))) > 0",
     "audit_page": "SELECT row_id, source_file FROM (SELECT row_id, source_file FROM chunks ORDER BY indexed_at DESC NULLS LAST, row_id DESC LIMIT 50 OFFSET 50)",
-    "review_status_upsert": "SELECT chunk_id, CASE WHEN bool_or(coalesce(is_deleted, false)) THEN 'rejected' ELSE 'pending' END AS status FROM chunks WHERE chunk_id IS NOT NULL GROUP BY chunk_id",
+    "standing_upsert": "SELECT chunk_id, CASE WHEN bool_or(coalesce(is_deleted, false)) THEN 'rejected' ELSE 'pending' END AS status FROM chunks WHERE chunk_id IS NOT NULL GROUP BY chunk_id",
     "source_text_precedence": "WITH p AS (SELECT record_id, long_text, CASE WHEN json_valid(payload) THEN payload END AS j FROM loaded_legal_json), t AS (SELECT record_id, coalesce(nullif(trim(long_text), ''), "
     + ", ".join(f"nullif(trim(json_extract_string(j, '$.{f}')), '')" for f in ("long_text", "body", "full_text", "original_long_text", "original_text", "content", "text"))
     + ", '') AS t FROM p) SELECT record_id, length(t) AS n_chars, md5(t) AS digest FROM t",

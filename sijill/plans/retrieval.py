@@ -57,6 +57,13 @@ def lexical_candidates(spark, folder):
     return Z.lexical_candidates(Z.asked(_questions(spark, folder)), docs, R.term_frequencies(docs, "doc_id", "norm")).select("query_id", "doc_id", "score")
 
 
+def best_document_per_question(spark, folder):
+    """The document of each question's best lexical candidate, the first by name of equals, with how many of its chunks are candidates."""
+    owners = table(spark, folder, "chunks").where("document_id IS NOT NULL").select(F.col("row_id").alias("doc_id"), "document_id")
+    found = lexical_candidates(spark, folder).join(owners, "doc_id").groupBy("query_id", "document_id").agg(F.max("score").alias("score"), F.count(F.lit(1)).alias("n_chunks"))
+    return R.top_k(found, "query_id", [F.desc("score"), F.asc("document_id")], 1).drop("place")
+
+
 def lexical_relevance(spark, folder):
     """Each title against the long text of its own record."""
     rows = table(spark, folder, "search_records").where("document_id IS NOT NULL").select("search_id", "document_id", A.normalize_search(F.col("title")).alias("q"))
@@ -129,7 +136,7 @@ def extractive_summary_all(spark, folder):
     return _summaries(spark, folder, table(spark, folder, "search_records"))
 
 
-QUERIES = {f.__name__: f for f in (bm25_topk, hybrid_rerank, metadata_candidates, lexical_candidates, lexical_relevance, question_signals, vector_topk_l2, vector_topk_cosine, exact_law_lookup, supporting_sources, answer_number_validation, extractive_summary, extractive_summary_all)}
+QUERIES = {f.__name__: f for f in (bm25_topk, hybrid_rerank, metadata_candidates, lexical_candidates, best_document_per_question, lexical_relevance, question_signals, vector_topk_l2, vector_topk_cosine, exact_law_lookup, supporting_sources, answer_number_validation, extractive_summary, extractive_summary_all)}
 
 _Q = f"q AS (SELECT search_id AS query_id, unnest({A.search_tokens_sql('title')}) AS term FROM search_records WHERE search_id % 50 = 0)"
 _CITED = "c AS (SELECT chunk_id, arg_max(text, row_id) AS text FROM chunks WHERE text IS NOT NULL AND chunk_id IS NOT NULL GROUP BY chunk_id), j AS (SELECT entry_id, legal_reference, text FROM citation_registry JOIN c USING (chunk_id) WHERE legal_reference IS NOT NULL)"
@@ -137,9 +144,11 @@ _LAST = "x AS (SELECT l.document_id, l.long_text AS t FROM loaded_legal_json l J
 _WORDS = r"list_distinct(list_filter(regexp_extract_all({0}, '[\p{{L}}\p{{N}}_\x{{0600}}-\x{{06ff}}]+'), lambda w: length(w) > 2))"
 _VEC = "SELECT query_id, vec_id, distance FROM (SELECT query_id, vec_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS n FROM (SELECT q.vec_id AS query_id, v.vec_id, round({0}, 4) AS distance FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0)) WHERE n <= 10"
 _NUM = f"list_distinct(regexp_extract_all({A.fold_digits_sql('{0}')}, '[0-9]+'))"
+_LEXICAL = Z.lexical_sql("search_id % 50 = 0", "SELECT row_id AS doc_id, text FROM chunks")
 SQL = {
+    "best_document_per_question": f"WITH l AS ({_LEXICAL}), g AS (SELECT query_id, document_id, max(score) AS score, count(*) AS n_chunks FROM l JOIN chunks ON doc_id = row_id WHERE document_id IS NOT NULL GROUP BY 1, 2) SELECT query_id, document_id, score, n_chunks FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id) AS p FROM g) WHERE p = 1",
     "metadata_candidates": Z.metadata_sql("search_id % 50 = 0", f"SELECT row_id AS doc_id, {P.metadata_text(DUCK)} AS meta FROM chunks"),
-    "lexical_candidates": Z.lexical_sql("search_id % 50 = 0", "SELECT row_id AS doc_id, text FROM chunks"),
+    "lexical_candidates": _LEXICAL,
     "bm25_topk": f"WITH {_Q}, a AS (SELECT query_id, term, count(*) AS times FROM q GROUP BY 1, 2), d AS (SELECT row_id AS doc_id, {A.search_tokens_sql('text')} AS tokens FROM chunks), s AS (SELECT count(*) AS n, avg(len(tokens)) AS avgdl FROM d), "
     "p AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(tokens) AS dl, unnest(tokens) AS term FROM d) WHERE term IN (SELECT term FROM a) GROUP BY 1, 2, 3), f AS (SELECT term, count(*) AS df FROM p GROUP BY 1), "
     f"r AS (SELECT query_id, doc_id, sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * {R.K1 + 1} / (tf + {R.K1} * ({1 - R.B} + {R.B} * dl / avgdl))) AS raw FROM p JOIN f USING (term) JOIN a USING (term), s GROUP BY 1, 2), "
