@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sijill.functions import arabic as A
 from sijill.functions import extract as X
 from sijill.functions.dialect import DUCK, column
+from sijill.operators import grounded as G
 from sijill.operators import questions as Q
 from sijill.operators import records as P
 from sijill.operators import retrieval as R
@@ -47,6 +48,16 @@ def hybrid_rerank(spark, folder):
     return search_every(spark, folder)
 
 
+def grounded_answers(spark, folder, every: int = 50):
+    """Each question answered from the best document that search finds for it: outright, or by its nearest lines."""
+    asked = table(spark, folder, "search_records").where(f"search_id % {every} = 0").select(F.col("search_id").alias("query_id"), F.col("title").alias("text"))
+    chunks = table(spark, folder, "chunks").select(F.col("row_id").alias("doc_id"), "text", F.col("document_title").alias("title"), F.coalesce("document_id", F.lit("")).alias("document_key"))
+    found = search_every(spark, folder, every).join(chunks, "doc_id").join(asked.select("query_id", column(lambda q, x: Q.needs_several(q, q.norm(x)), "text").alias("several")), "query_id")
+    latest = table(spark, folder, "search_records").where("document_id IS NOT NULL").groupBy(F.col("document_id").alias("document_key")).agg(*[F.max_by(c, "search_id").alias(c) for c in ("decision_number", "issue_date", "session_date")])
+    texts = table(spark, folder, "loaded_legal_json").where("document_id IS NOT NULL").groupBy(F.col("document_id").alias("document_key")).agg(F.max_by("long_text", "record_id").alias("long_text"))
+    return G.answered(asked, G.top_document(found), latest.join(texts, "document_key", "full"))
+
+
 def metadata_candidates(spark, folder):
     meta = Z.searched(_rows(spark, folder).select("doc_id", F.col("meta").alias("text")))
     return Z.metadata_candidates(Z.asked(_questions(spark, folder)), meta, R.term_frequencies(meta, "doc_id", "norm")).select("query_id", "doc_id", "score")
@@ -136,7 +147,7 @@ def extractive_summary_all(spark, folder):
     return _summaries(spark, folder, table(spark, folder, "search_records"))
 
 
-QUERIES = {f.__name__: f for f in (bm25_topk, hybrid_rerank, metadata_candidates, lexical_candidates, best_document_per_question, lexical_relevance, question_signals, vector_topk_l2, vector_topk_cosine, exact_law_lookup, supporting_sources, answer_number_validation, extractive_summary, extractive_summary_all)}
+QUERIES = {f.__name__: f for f in (bm25_topk, hybrid_rerank, grounded_answers, metadata_candidates, lexical_candidates, best_document_per_question, lexical_relevance, question_signals, vector_topk_l2, vector_topk_cosine, exact_law_lookup, supporting_sources, answer_number_validation, extractive_summary, extractive_summary_all)}
 
 _Q = f"q AS (SELECT search_id AS query_id, unnest({A.search_tokens_sql('title')}) AS term FROM search_records WHERE search_id % 50 = 0)"
 _CITED = "c AS (SELECT chunk_id, arg_max(text, row_id) AS text FROM chunks WHERE text IS NOT NULL AND chunk_id IS NOT NULL GROUP BY chunk_id), j AS (SELECT entry_id, legal_reference, text FROM citation_registry JOIN c USING (chunk_id) WHERE legal_reference IS NOT NULL)"
