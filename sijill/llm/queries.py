@@ -19,4 +19,4 @@ QUERIES = {
     "p10_rates": toxicity.p10_rates,
 }
 
-SQL: dict[str, str] = {"p7_found": splitting.P7_SQL}
+SQL: dict[str, str] = {"p7_found": splitting.P7_SQL, "p9_found": leakage.P9_SQL}

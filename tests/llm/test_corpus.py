@@ -1,3 +1,4 @@
+import pickle
 import random
 import re
 
@@ -165,6 +166,19 @@ def test_automaton_against_brute_force():
         assert {i for _, _, i in reader.spans(text)} == brute(items, text)
 
 
+def test_automaton_travels_as_arrays():
+    items = {i: " ".join(f"w{(i * k) % 50}" for k in range(40)) for i in range(20)} | {99: "", 98: "short"}
+    automaton = K.SuffixAutomaton(items)
+    copy = pickle.loads(pickle.dumps(automaton))
+    for i in items:
+        assert K.Reader(copy).spans(items[i]) == K.Reader(automaton).spans(items[i])
+    assert pickle.loads(pickle.dumps(K.SuffixAutomaton({}))).matches([0, -1]) == []
+
+
+def test_p9_against_sql(spark, medium):
+    assert_same(K.p9_found(spark, medium), duck(medium), K.P9_SQL)
+
+
 def test_folding():
     assert K.words("إِنَّ الـقـرار رقم (١٢)، ID‏-7") == ["ان", "القرار", "رقم", "12", "id", "7"]
 
