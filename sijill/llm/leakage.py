@@ -23,8 +23,8 @@ from sijill.session import table, texts
 MIN_WORDS = 12
 #: A text with a greater share of leaked words than this is dropped whole by clean_texts.
 MAX_COVERAGE = 0.5
-#: The automaton goes to every worker; items beyond this many words are refused rather than cut.
-MAX_ITEM_WORDS = 5_000_000
+#: Item words in one automaton, which goes to every worker (some 0.4 KB a word there); more items make more automata.
+MAX_ITEM_WORDS = 1_000_000
 
 _FOLD = str.maketrans("أإآٱ", "اااا", "ـ")
 _WORD = re.compile(r"[^\W_]+")
@@ -50,14 +50,14 @@ def words(token: str) -> list[str]:
 class SuffixAutomaton:
     """A generalised suffix automaton over word numbers."""
 
-    def __init__(self, items: dict[int, str], min_words: int = MIN_WORDS):
+    def __init__(self, items: dict[int, str] | list[tuple[int, str]], min_words: int = MIN_WORDS):
         self.min_words = min_words
         self.next: list[dict[int, int]] = [{}]
         self.link, self.len = [-1], [0]
         self.vocabulary: dict[str, int] = {}
         ends: list[set[int]] = [set()]
         n = 0
-        for item, text in items.items():
+        for item, text in items.items() if isinstance(items, dict) else items:
             last = 0
             for word in words(text or ""):
                 n += 1
@@ -201,18 +201,43 @@ class Reader:
         return [tuple(p) for p in places], len(covered) / len(at)
 
 
-def automaton_of(items: DataFrame, key: str, field: str, min_words: int = MIN_WORDS) -> SuffixAutomaton:
-    """Test material is held out by hand and bounded (MAX_ITEM_WORDS); it is read to the driver."""
-    rows = items.select(F.col(key).cast("long"), F.col(field)).where(F.col(field).isNotNull()).toLocalIterator()
-    return SuffixAutomaton({r[0]: r[1] for r in rows}, min_words)
+def automata_of(items: DataFrame, key: str, field: str, min_words: int = MIN_WORDS, most: int = MAX_ITEM_WORDS) -> list[SuffixAutomaton]:
+    """Automata over all items, each of at most `most` words.
 
-
-def leaked_items(documents: DataFrame, key: str, field: str, automaton: SuffixAutomaton) -> DataFrame:
-    """(key, item_id, first_word, end_word) of each leaked run of words.
+    Test material is held out by hand; it is read to the driver item by item. An item that
+    is larger than an automaton is laid into several, each part with the last min_words - 1
+    words of the one before, so every window of min_words stands whole in one of them.
+    """
+    rows = items.select(F.col(key).cast("long"), F.col(field)).where(F.col(field).isNotNull()).orderBy(key, field).toLocalIterator()
+    done: list[SuffixAutomaton] = []
+    held: list[tuple[int, str]] = []
+    size = 0
+    for item, text in rows:
+        own = words(text)
+        for at in range(0, max(1, len(own) - min_words + 1), most - min_words + 1):
+            part = own[at : at + most]
+            if held and size + len(part) > most:
+                done.append(SuffixAutomaton(held, min_words))
+                held, size = [], 0
+            held.append((item, " ".join(part)))
+            size += len(part)
+    return [*done, SuffixAutomaton(held, min_words)]
+
+
+def leaked_items(documents: DataFrame, key: str, field: str, automata: list[SuffixAutomaton]) -> DataFrame:
+    """(key, item_id, first_word, end_word) of each leaked run of words; the documents are read once for each automaton.
 
     Null, empty and short texts and empty tables give no rows; repeated documents give
     theirs each; other columns are not read. Documents are independent: no shuffle.
     """
+    parts = [_leaked(documents, key, field, a) for a in automata]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _leaked(documents: DataFrame, key: str, field: str, automaton: SuffixAutomaton) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(automaton)
 
     def run(batches):
@@ -227,17 +252,17 @@ def leaked_items(documents: DataFrame, key: str, field: str, automaton: SuffixAu
     return rows.mapInArrow(run, f"`{key}` long, item_id long, first_word int, end_word int")
 
 
-def clean_texts(documents: DataFrame, key: str, field: str, automaton: SuffixAutomaton, max_coverage: float = MAX_COVERAGE) -> DataFrame:
-    """(key, text, coverage) of the documents with leaks: leaked spans cut out, null text where they cover more than max_coverage."""
-    shared = documents.sparkSession.sparkContext.broadcast(automaton)
+def clean_texts(documents: DataFrame, key: str, field: str, automata: list[SuffixAutomaton], max_coverage: float = MAX_COVERAGE) -> DataFrame:
+    """(key, text, coverage) of the documents with leaks: leaked spans cut out, null text where they cover more than max_coverage. All automata are held at once."""
+    shared = documents.sparkSession.sparkContext.broadcast(automata)
 
     def run(batches):
-        reader = Reader(shared.value)
+        readers = [Reader(a) for a in shared.value]
         for batch in batches:
             out = []
             for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if spans := reader.spans(text):
-                    places, coverage = reader.characters(text, spans)
+                if spans := [s for reader in readers for s in reader.spans(text)]:
+                    places, coverage = readers[0].characters(text, spans)
                     for a, b in reversed(places):
                         text = text[:a] + text[b:]
                     out.append((k, text if coverage <= max_coverage else None, coverage))
@@ -250,15 +275,15 @@ def clean_texts(documents: DataFrame, key: str, field: str, automaton: SuffixAut
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
-    automaton = automaton_of(table(spark, folder, "eval_items"), "item_id", "item_text")
+    automata = automata_of(table(spark, folder, "eval_items"), "item_id", "item_text")
     # an item may leak in several places of a document: they are merged in the row's own task
-    leaks = leaked_items(texts(spark, folder, "documents", "doc_id", "text"), "doc_id", "text", automaton)
+    leaks = leaked_items(texts(spark, folder, "documents", "doc_id", "text"), "doc_id", "text", automata)
     return leaks.select("doc_id", "item_id").distinct()
 
 
 def p9_cleaned(spark: SparkSession, folder: str) -> DataFrame:
-    automaton = automaton_of(table(spark, folder, "eval_items"), "item_id", "item_text")
-    return clean_texts(texts(spark, folder, "documents", "doc_id", "text"), "doc_id", "text", automaton)
+    automata = automata_of(table(spark, folder, "eval_items"), "item_id", "item_text")
+    return clean_texts(texts(spark, folder, "documents", "doc_id", "text"), "doc_id", "text", automata)
 
 
 # the same cases by windows of words, for the other engine

@@ -175,6 +175,17 @@ def test_automaton_travels_as_arrays():
     assert pickle.loads(pickle.dumps(K.SuffixAutomaton({}))).matches([0, -1]) == []
 
 
+def test_items_beyond_one_automaton(spark):
+    item = " ".join(f"كلمة{i}" for i in range(60))
+    items = spark.createDataFrame([(7, item), (8, " ".join(f"x{i}" for i in range(14))), (9, None)], "item_id long, item_text string")
+    docs = spark.createDataFrame([(k, " ".join(item.split()[k : k + 12])) for k in range(49)] + [(99, " ".join(f"x{i}" for i in range(14)))], "id long, text string")
+    automata = K.automata_of(items, "item_id", "item_text", most=20)
+    assert len(automata) > 3
+    assert {(r.id, r.item_id) for r in K.leaked_items(docs, "id", "text", automata).collect()} == {(k, 7) for k in range(49)} | {(99, 8)}
+    assert K.clean_texts(docs, "id", "text", automata).count() == 50
+    assert len(K.automata_of(items.limit(0), "item_id", "item_text")) == 1
+
+
 def test_p9_against_sql(spark, medium):
     assert_same(K.p9_found(spark, medium), duck(medium), K.P9_SQL)
 
@@ -187,7 +198,7 @@ def test_leaks_and_cleaning(spark):
     item = " ".join(f"كلمة{i}" for i in range(20))
     docs = spark.createDataFrame([(1, "قبل " + item + " بعد " + "حشو " * 30, "a"), (1, "قبل " + item + " بعد " + "حشو " * 30, "a"), (2, item, "b"), (3, None, "c"), (4, "", "d"), (5, " ".join(item.split()[:11]), "e")], "id long, text string, item_id string")
     items = spark.createDataFrame([(7, item), (8, None), (9, "short")], "item_id long, item_text string")
-    automaton = K.automaton_of(items, "item_id", "item_text")
+    automaton = K.automata_of(items, "item_id", "item_text")
     assert sorted((r.id, r.item_id) for r in K.leaked_items(docs, "id", "text", automaton).collect()) == [(1, 7), (1, 7), (2, 7)]
     cleaned = {r.id: r.text for r in K.clean_texts(docs, "id", "text", automaton).collect()}
     assert cleaned[2] is None and "كلمة0 " not in cleaned[1] and cleaned[1].startswith("قبل ") and "بعد" in cleaned[1]
