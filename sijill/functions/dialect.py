@@ -169,8 +169,16 @@ class Dialect:
     def _quoted(self, value: str) -> str:
         return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-    def tokens(self, norm: str) -> str:
-        """Different search tokens of a normalised text, with their variants."""
+    def sorted(self, x: str) -> str:
+        """Each value once, in order of the characters."""
+        return f"array_sort(array_distinct({x}))"
+
+    def bound(self, x: str, v: str, body: str) -> str:
+        """A body over a value that is computed once, whatever its size."""
+        return self.at(self.each(self.list(x), v, body), 1)
+
+    def listed(self, norm: str) -> str:
+        """Search tokens of a normalised text in order, each with its variants; repeats stay."""
         number = lambda t: self.match(t, "^[0-9]+$")
         kept = self.keep(self.all(norm, A.TOKEN), "t", f"NOT {self.inside(self.words(A.STOP_WORDS), 't')} AND ({number('t')} OR length(t) > 1)")
         forms = self.list(
@@ -181,7 +189,11 @@ class Dialect:
             f"CASE WHEN {number('t')} AND length(t) > 1 THEN reverse(t) END",
         )
         variants = self.keep(forms, "v", f"v IS NOT NULL AND NOT {self.inside(self.words(A.STOP_WORDS), 'v')}")
-        return self.unique(f"flatten({self.each(kept, 't', variants)})")
+        return f"flatten({self.each(kept, 't', self.sorted(variants))})"
+
+    def tokens(self, norm: str) -> str:
+        """Different search tokens."""
+        return self.unique(self.listed(norm))
 
 
 class Duck(Dialect):
@@ -237,6 +249,9 @@ class Duck(Dialect):
     def join(self, x: str, by: str) -> str:
         return f"coalesce(array_to_string({x}, {by if by.startswith('chr(') else self.s(by)}), '')"
 
+    def sorted(self, x: str) -> str:
+        return f"list_sort(list_distinct({x}))"
+
     def unique(self, x: str) -> str:
         # list_distinct loses the order; the list is bound once, as the only element of a list
         return f"list_transform([{x}], lambda l: list_filter(l, lambda e, i: list_position(l, e) = i))[1]"

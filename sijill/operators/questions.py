@@ -113,7 +113,9 @@ def signals(q: Dialect, norm: str) -> str:
     """Identifiers and named things in a question in searched form, in order, each once."""
     numbers = [q.whole(norm, p) for p in SIGNALS]
     phrases = [q.all(norm, p) for p in SIGNAL_PHRASES]
-    found = q.each(q.concat(*numbers, *phrases), "v", "trim(v)")
+    # four tokens from each word whose neighbourhood names something
+    windows = q.bound(q.listed(norm), "ts", q.each(q.places("ts", "i", q.inside(q.words(SIGNAL_WORDS), q.at("ts", "i"))), "i", q.join(q.slice("ts", "i", 4), " ")))
+    found = q.each(q.concat(*numbers, *phrases, windows), "v", "trim(v)")
     return q.unique(q.keep(found, "v", "v <> ''"))
 
 

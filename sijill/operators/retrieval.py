@@ -9,7 +9,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sijill.functions import arabic as A
-from sijill.functions.extract import bounded
 from sijill.session import materialize
 
 K1, B = 1.5, 0.75
@@ -17,13 +16,6 @@ K1, B = 1.5, 0.75
 BLOCK = 4_096
 #: Postings of one term that a task takes; those of a term in every text are dealt over salts.
 POSTINGS = 200_000
-# Phrases that name something, and words whose neighbourhood does.
-SIGNAL_PATTERNS = [
-    *map(bounded, [r"[0-9]{1,2}\s*/\s*[0-9]{1,2}\s*/\s*[0-9]{4}", r"[0-9]{1,5}\s*/\s*[0-9]{1,5}(?:\s*/\s*[0-9]{2,4})?", r"(?:19|20)[0-9]{2}", r"[0-9]{1,6}(?:\.[0-9]{3})*(?:\.[0-9]+)?"]),
-    r"(?:وزارة|وزاره)\s+[\x{0600}-\x{06ff} ]{2,40}", r"شركة\s+[\x{0600}-\x{06ff}0-9 ]{2,50}", r"(?:السيد|الدكتور|د\.|الاستاذ)\s+[\x{0600}-\x{06ff} ]{2,40}",
-    r"(?:منتوج|مادة|ماده)\s+[\x{0600}-\x{06ff} ]{2,40}", r"زيت\s+[\x{0600}-\x{06ff} ]{2,25}", r"مجلس\s+الوزراء(?:\s+العراقي)?",
-]
-SIGNAL_WORDS = ["قرار", "كتاب", "رقم", "وزاره", "وزارة", "شركة", "منتوج"]
 # Weights of the layers' scores and of the rerank.
 RERANK_WEIGHTS = {"semantic": 0.25, "bm25": 0.28, "lexical": 0.19, "signal": 0.20, "intent": 0.08}
 LAYER_BONUS = {"metadata": 0.08, "lexical": 0.05, "semantic": 0.03}
@@ -100,17 +92,6 @@ def lexical_relevance(q_norm: Column, q_tokens: Column, d_norm: Column, d_tokens
     return F.when(total > 0, F.least(hit / total + whole, F.lit(1.0))).otherwise(0.0)
 
 
-def signals(norm: Column) -> Column:
-    """Identifiers and named things in a normalised question, in order, each once."""
-    hits = [F.transform(F.regexp_extract_all(norm, F.lit(p), F.lit(0)), F.trim) for p in SIGNAL_PATTERNS]
-    tokens = A.search_tokens(norm, True)
-    windows = F.transform(
-        F.filter(F.sequence(F.lit(1), F.greatest(F.size(tokens), F.lit(1))), lambda i: F.coalesce(F.get(tokens, i - 1).isin(SIGNAL_WORDS), F.lit(False))),
-        lambda i: F.array_join(F.slice(tokens, i, 4), " "),
-    )
-    return F.array_distinct(F.filter(F.concat(*hits, windows), lambda s: s != ""))
-
-
 def signal_score(q_signals: Column, d_norm: Column, d_tokens: Column) -> Column:
     """Weight of the signals found: 3 with digits, else 2; in full where the text holds them, 0.8 where it holds their tokens."""
     weight = lambda s: F.when(s.rlike("[0-9]"), 3.0).otherwise(2.0)

@@ -132,6 +132,7 @@ SQL = {
     "paragraph_types": f"WITH l AS (SELECT unnest(string_split(coalesce(text, ''), chr(10))) AS p FROM chunks), m AS (SELECT p, {_FOLD.format('p')} AS f FROM l) SELECT {_PARA} AS paragraph_type, count(*) AS n_paragraphs FROM m GROUP BY 1",
     "document_types": f"WITH t AS (SELECT doc_id, {_FOLD.format('text')} AS f FROM documents), b AS (SELECT doc_id, list_max(list_filter([{_RULES}], lambda v: v IS NOT NULL)) AS m FROM t) SELECT doc_id, coalesce(m.type, 'Unknown') AS type, coalesce(m.confidence, 0.0::DOUBLE) AS confidence FROM b",
     "government_types": "WITH t AS (SELECT search_id, coalesce(title, '') AS x, lower(coalesce(filename, '') || chr(10) || substring(coalesce(title, ''), 1, 3000)) AS h FROM search_records) SELECT search_id, CASE " + " ".join(f"WHEN {_contains('h', w)} THEN '{n}'" for n, w in X.GOVERNMENT_TYPES) + " ELSE 'unknown' END AS type, CASE " + " ".join(f"WHEN regexp_matches(x, '{p}') THEN '{n}'" for n, p in X.AUTHORITIES) + " END AS authority FROM t",
+    "government_types_text": "WITH t AS (SELECT record_id, coalesce(long_text, '') AS x, lower(coalesce(source_file, '') || chr(10) || substring(coalesce(long_text, ''), 1, 3000)) AS h FROM loaded_legal_json) SELECT record_id, CASE " + " ".join(f"WHEN {_contains('h', w)} THEN '{n}'" for n, w in X.GOVERNMENT_TYPES) + " ELSE 'unknown' END AS type, CASE " + " ".join(f"WHEN regexp_matches(x, '{p}') THEN '{n}'" for n, p in X.AUTHORITIES) + " END AS authority FROM t",
     "date_validity": f"SELECT decision_id, {_ISSUE} AS valid FROM decision_metadata",
     "validate_errors": "WITH c AS (SELECT *, (coalesce(trim(document_number), '') = '')::INT + (coalesce(trim(issue_date), '') = '')::INT + (coalesce(trim(ministry), '') = '')::INT + (coalesce(trim(subject), '') = '')::INT AS absent, "
     f"{_ISSUE} AS valid FROM decision_metadata), e AS (SELECT decision_id, list_filter([CASE WHEN filename IS NULL THEN 'missing filename' END, CASE WHEN absent >= 4 THEN 'missing metadata' END, CASE WHEN valid = false THEN 'invalid issue_date' END, CASE WHEN document_type IS NULL THEN 'missing document_type' END, CASE WHEN signature IS NULL THEN 'missing signature' END], lambda v: v IS NOT NULL) AS errors FROM c) "

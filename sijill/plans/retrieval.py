@@ -1,7 +1,7 @@
 """Queries of search, ranking and answers (survey 2.4 to 2.9, 2.13).
 
 The question set of searches is every search record whose id is divisible by 50, against
-all rows; question_signals and extractive_summary_all take every search record.
+all rows; extractive_summary_all takes every search record.
 """
 
 from pyspark.sql import Window as W
@@ -83,11 +83,6 @@ def lexical_relevance(spark, folder):
     return both.select("search_id", F.round(R.lexical_relevance(F.col("q"), F.col("qt"), F.col("d"), F.col("dt")), 6).alias("score"))
 
 
-def question_signals(spark, folder):
-    norm = table(spark, folder, "search_records").select(F.col("search_id").alias("query_id"), A.normalize_search(F.col("title")).alias("n"))
-    return norm.select("query_id", F.array_join(R.signals(F.col("n")), " | ").alias("signals"), F.array_join(column(Q.intents, "n"), " | ").alias("intents"))
-
-
 def vector_topk_l2(spark, folder):
     vectors = table(spark, folder, "embeddings")
     return R.vector_top_k(vectors.where("vec_id % 50 = 0"), vectors, "vec_id", "embedding", "l2").select("query_id", "vec_id", "distance")
@@ -147,7 +142,7 @@ def extractive_summary_all(spark, folder):
     return _summaries(spark, folder, table(spark, folder, "search_records"))
 
 
-QUERIES = {f.__name__: f for f in (bm25_topk, hybrid_rerank, grounded_answers, metadata_candidates, lexical_candidates, best_document_per_question, lexical_relevance, question_signals, vector_topk_l2, vector_topk_cosine, exact_law_lookup, supporting_sources, answer_number_validation, extractive_summary, extractive_summary_all)}
+QUERIES = {f.__name__: f for f in (bm25_topk, hybrid_rerank, grounded_answers, metadata_candidates, lexical_candidates, best_document_per_question, lexical_relevance, vector_topk_l2, vector_topk_cosine, exact_law_lookup, supporting_sources, answer_number_validation, extractive_summary, extractive_summary_all)}
 
 _Q = f"q AS (SELECT search_id AS query_id, unnest({A.search_tokens_sql('title')}) AS term FROM search_records WHERE search_id % 50 = 0)"
 _CITED = "c AS (SELECT chunk_id, arg_max(text, row_id) AS text FROM chunks WHERE text IS NOT NULL AND chunk_id IS NOT NULL GROUP BY chunk_id), j AS (SELECT entry_id, legal_reference, text FROM citation_registry JOIN c USING (chunk_id) WHERE legal_reference IS NOT NULL)"
@@ -182,3 +177,5 @@ SQL = {
     f"k AS (SELECT search_id, trim(line) AS line, no, round(len(list_intersect(q, list_distinct({A.search_tokens_sql('line')})))::DOUBLE / len(q), 6) AS score FROM l WHERE length(trim(line)) >= 12), b AS (SELECT search_id, line, max(score) AS score, min(no) AS no FROM k WHERE score > 0 GROUP BY 1, 2) "
     "SELECT search_id, line, score FROM (SELECT *, row_number() OVER (PARTITION BY search_id ORDER BY score DESC, no) AS n FROM b) WHERE n <= 3",
 }
+# a title without tokens shares none
+SQL["extractive_summary_all"] = SQL["extractive_summary"].replace("WHERE search_id % 50 = 0", "").replace("length(trim(line)) >= 12", "length(trim(line)) >= 12 AND len(q) > 0")

@@ -79,7 +79,7 @@ def test_questions(spark, operator, question, want):
 
 def test_expansion_and_markers(spark):
     text = both(spark, lambda q, x: Q.expansion(q, x, q.norm(x), Q.intents(q, q.norm(x)), Q.signals(q, q.norm(x))), "متى صدر القرار 27؟")
-    assert text.split("\n")[0] == "متى صدر القرار 27؟" and Q.EXPANSIONS["date"] in text and text.endswith("27")
+    assert text.split("\n")[0] == "متى صدر القرار 27؟" and Q.EXPANSIONS["date"] in text and "27" in text.split("\n")[-1].split()
     assert both(spark, lambda q, m, c: Q.missing_markers(q, m, c), ["AB-12", "3/4/2019", "ZZ"], "في 3 / 4 / 2019 ab 12") == ["ZZ"]
 
 
