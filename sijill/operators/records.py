@@ -98,7 +98,8 @@ def chunk_citations(q: Dialect) -> str:
 
 def _payloads(q: Dialect) -> str:
     """Complete payloads, however they are wrapped."""
-    rows = f"SELECT record_id, {q.payload('payload')} AS payload, {q.text('long_text')} AS x FROM {q.table('loaded_legal_json')}"
+    # as the one row of a list the payload is unwrapped once, not anew in each expression over it
+    rows = f"SELECT record_id, {q.rows(q.list(q.payload('payload')))} AS payload, {q.text('long_text')} AS x FROM {q.table('loaded_legal_json')}"
     return f"SELECT * FROM ({rows}) WHERE payload IS NOT NULL"
 
 

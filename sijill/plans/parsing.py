@@ -41,7 +41,7 @@ def json_syntax(spark, folder):
 
 def payload_keys(spark, folder):
     """The top-level keys of payloads that are objects, however wrapped, in order of name."""
-    rows = _records(spark, folder).select("record_id", F.expr(SPARK.payload("payload")).alias("payload")).where("payload IS NOT NULL")
+    rows = _records(spark, folder).select("record_id", F.explode(F.array(F.expr(SPARK.payload("payload")))).alias("payload")).where("payload IS NOT NULL")
     return rows.select("record_id", F.array_join(F.array_sort(F.json_object_keys("payload")), ",").alias("keys"), F.array_join(S.banned_keys(F.col("payload")), ",").alias("banned"))
 
 
