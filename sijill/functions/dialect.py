@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sijill.functions import arabic as A
-from sijill.session import table
+from sijill.session import spread, table
 
 
 class Dialect:
@@ -294,7 +294,8 @@ def query(statement: Callable[[Dialect], str], *tables: str) -> tuple[Callable[[
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
         for name in tables:
-            table(spark, folder, name).createOrReplaceTempView(SPARK.table(name))
+            # columns that the statement doesn't name are pruned before the rows are dealt
+            spread(table(spark, folder, name)).createOrReplaceTempView(SPARK.table(name))
         return spark.sql(statement(SPARK))
 
     run.__doc__ = statement.__doc__

@@ -15,7 +15,7 @@ from sijill.operators import questions as Q
 from sijill.operators import records as P
 from sijill.operators import retrieval as R
 from sijill.operators import search as Z
-from sijill.session import table
+from sijill.session import spread, table, texts
 
 
 def _questions(spark, folder):
@@ -23,7 +23,7 @@ def _questions(spark, folder):
 
 
 def _chunks(spark, folder):
-    return table(spark, folder, "chunks").select(F.col("row_id").alias("doc_id"), "text")
+    return texts(spark, folder, "chunks", "row_id", "text").withColumnRenamed("row_id", "doc_id")
 
 
 def bm25_topk(spark, folder):
@@ -32,7 +32,7 @@ def bm25_topk(spark, folder):
 
 def _rows(spark, folder):
     """Chunks as they are searched, with what their metadata add."""
-    rows = table(spark, folder, "chunks")
+    rows = spread(table(spark, folder, "chunks"))
     meta = column(lambda q, *_: P.metadata_text(q), "row_id")
     key = F.coalesce(F.nullif(F.trim("document_id"), F.lit("")), "source_file", "document_title", F.substring("text", 1, 160))
     return rows.select(F.col("row_id").alias("doc_id"), "text", meta.alias("meta"), F.coalesce("section_title", "article_reference").alias("section"), A.normalize_search(key).alias("document_key"))
