@@ -110,7 +110,8 @@ def payload_fields(q: Dialect) -> str:
 
 def derived(q: Dialect) -> str:
     """What every payload's own fields and its text tell of a decision, fields before text."""
-    pick = lambda *paths: q.first(*[q.text(q.json("payload", f"$.{p}")) for p in paths])
+    # a short list per field rather than nested expressions, whose generated code grows too large to compile
+    pick = lambda *paths: f"coalesce({q.at(q.keep(q.each(q.list(*[q.text(q.json('payload', f'$.{p}')) for p in paths]), 'v', q.strip('v')), 'v', "v <> ''"), 1)}, '')"
     of = lambda name: [name, f"document.{name}", f"metadata.{name}", f"extracted_fields.{name}"]
     flat = q.sub("x", r"\s+", " ")
     session = "coalesce(" + ", ".join(f"nullif({q.sub(q.find(flat, p, 1), r'\s+', '')}, '')" for p in SESSION_DATES) + ", '')"
