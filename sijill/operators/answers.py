@@ -215,3 +215,38 @@ def full_text_match(q: Dialect) -> str:
     return f"SELECT search_id, round({match_score(q, 'a', 'n', 'o', 't')}, 6) AS score FROM ({rows})"
 
 
+
+
+def concise(q: Dialect, answer: str, sources: str) -> str:
+    """An answer below its sources: two parts, and a note where there is no source."""
+    listed = f"CASE WHEN {q.size(sources)} > 0 THEN {q.join(sources, 'chr(10)')} ELSE 'لا توجد مصادر مطابقة' END"
+    return f"'Analysis / Relevant Legal Sources' || chr(10) || chr(10) || {listed} || chr(10) || chr(10) || 'Answer' || chr(10) || chr(10) || {body(q, answer)}"
+
+
+def appended(q: Dialect, answer: str, topics: str) -> str:
+    """An answer with its summary and topics, unless it has them or says nothing."""
+    own = q.strip(q.sub(answer, rf"{TOPICS_HEADING}[\s\S]*$", ""))
+    with_summary = f"CASE WHEN {q.has(own, SUMMARY_HEADING)} THEN {own} ELSE {own} || chr(10) || chr(10) || '{SUMMARY_HEADING}' || chr(10) || {first_sentence(q, answer)} END"
+    listed = q.join(q.each(topics, "t", "'- ' || t"), "chr(10)")
+    return f"CASE WHEN {q.strip(answer)} = '' OR {insufficient(q, answer)} THEN {answer} ELSE {with_summary} || chr(10) || chr(10) || '{TOPICS_HEADING}' || chr(10) || {listed} END"
+
+
+def indexes(q: Dialect, x: str) -> str:
+    """Whole numbers of a stored list of paragraphs, each once."""
+    return q.unique(q.each(q.all(q.text(x), "[0-9]{1,9}"), "n", "CAST(n AS BIGINT)"))
+
+
+def match_values(q: Dialect, names: list[str], titles: list[str]) -> str:
+    """The labels by which a document may be named: files with and without their ending, titles as they are."""
+    files = [q.strip(q.text(n)) for n in names]
+    stems = [q.sub(q.sub(f, r"^.*/", ""), r"\.[^.]*$", "") for f in files]
+    return q.unique(q.keep(q.list(*[v for pair in zip(files, stems) for v in pair], *[q.strip(q.text(t)) for t in titles]), "v", "v <> ''"))
+
+
+def answer_layouts(q: Dialect) -> str:
+    """Every chunk laid out as an answer: with its source, with summary and topics, and the labels of its document."""
+    from sijill.operators.readers import topics
+
+    rows = f"SELECT row_id, {q.text('text')} AS x, source_file, document_title, document_id FROM {q.table('chunks')}"
+    sources = q.keep(q.list(q.strip(q.text("document_title"))), "v", "v <> ''")
+    return f"SELECT row_id, md5({concise(q, 'x', sources)}) AS concise, md5({appended(q, 'x', topics(q, 'x'))}) AS appended, {q.join(match_values(q, ['source_file'], ['document_title', 'document_id']), ' | ')} AS labels FROM ({rows})"

@@ -162,3 +162,29 @@ def uploads(q: Dialect) -> str:
     """Chunks of each file gathered as an upload: pages, chunks, characters and what is missing."""
     page = "coalesce(page_number, 1)"
     return f"SELECT source_file, count(*) AS n_chunks, count(DISTINCT {page}) AS n_pages, CAST(sum(length({q.text('text')})) AS BIGINT) AS n_characters, count(*) - count(text) AS n_empty, min({page}) AS first_page, max({page}) AS last_page FROM {q.table('chunks')} WHERE source_file IS NOT NULL GROUP BY source_file"
+
+
+# What the other two payload profiles must have.
+STANDARD_METADATA, STANDARD_CONTENT = ["title", "document_type", "country", "language", "status"], ["preamble", "articles", "clauses", "full_text"]
+
+
+def profile_errors(q: Dialect) -> str:
+    """The constraints that each complete payload breaks by the government, the unified and the legacy profile."""
+    at = lambda path: q.json("payload", f"$.{path}")
+    absent = lambda path: f"({q.text(at(path))} IN ('', 'null'))"
+    kind = lambda path, mark: f"coalesce({q.match(at(path), mark)}, false)"
+    government = [(absent(k), f"Missing top-level field: {k}") for k in GOVERNMENT] + [(f"{kind('metadata', '^ *[{]')} AND {absent('metadata.' + k)}", f"Missing metadata field: {k}") for k in STANDARD_METADATA]
+    government += [(f"NOT {kind('legal_content', '^ *[{]')}", "legal_content must be an object"), (f"{q.text(at('metadata.document_type'))} = 'unknown'", "document_type could not be detected")] + [(f"{kind('legal_content', '^ *[{]')} AND {absent('legal_content.' + k)}", f"Missing legal_content field: {k}") for k in STANDARD_CONTENT]
+    unified = [(absent("document_classification.category"), "missing document classification category"), (f"NOT {kind('legal_structure.sections', r'^ *\[ *[^\] ]')}", "legal_structure sections are missing"), (f"{absent('document_title')} AND {absent('title')} AND {absent('document_classification.category')}", "missing title"), (absent("cleaned_text"), "cleaned text is empty"), (absent("original_text"), "original text is empty")]
+    legacy = [(absent(k), f"missing {k}") for k in ("source", "metadata", "paragraphs")]
+    lists = {name: q.keep(q.list(*[f"CASE WHEN {c} THEN {q.s(m)} END" for c, m in rules]), "e", "e IS NOT NULL") for name, rules in (("government", government), ("unified", unified), ("legacy", legacy))}
+    return f"SELECT record_id, {', '.join(f'{q.join(v, " ; ")} AS {k}' for k, v in lists.items())} FROM ({_payloads(q)})"
+
+
+def previews(q: Dialect) -> str:
+    """Every record's lines as simple HTML, and whether the numbers that head its lines rise."""
+    escaped = "replace(replace(replace(p, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+    heads = q.each(q.keep(q.each("ps", "p", q.find("p", r"^([0-9]{1,9})[.):-]", 1)), "n", "n <> ''"), "n", "CAST(n AS BIGINT)")
+    rising = f"{q.size(q.places('ns', 'i', f'i > 1 AND {q.at('ns', 'i')} < {q.at('ns', 'i - 1')}'))} = 0"
+    rows = f"SELECT record_id, ps, {heads} AS ns FROM (SELECT record_id, {q.lines('long_text')} AS ps FROM {q.table('loaded_legal_json')})"
+    return f"SELECT record_id, md5({q.join(q.each('ps', 'p', f"'<p>' || {escaped} || '</p>'"), 'chr(10)')}) AS html, {q.size('ns')} AS n_numbered, {rising} AS rising FROM ({rows})"

@@ -7,6 +7,7 @@ _ALL = {
     "answer_texts": (A.answer_texts, "chunks", "loaded_legal_json"),
     "answer_checks": (A.answer_checks, "chunks", "loaded_legal_json"),
     "answer_contexts": (A.answer_contexts, "chunks", "loaded_legal_json"),
+    "answer_layouts": (A.answer_layouts, "chunks"),
     "direct_facts": (A.direct_facts, "search_records", "loaded_legal_json"),
     "full_text_match": (A.full_text_match, "search_records", "loaded_legal_json"),
 }

@@ -13,6 +13,8 @@ _ALL = {
     "payload_errors": (R.payload_errors, "loaded_legal_json"),
     "search_record_context": (R.search_context, "search_records"),
     "payload_metadata": (R.payload_fields, "loaded_legal_json"),
+    "profile_errors": (R.profile_errors, "loaded_legal_json"),
+    "record_previews": (R.previews, "loaded_legal_json"),
     "upload_summaries": (R.uploads, "chunks"),
 }
 _BUILT = {name: query(*parts) for name, parts in _ALL.items()}

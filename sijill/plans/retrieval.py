@@ -68,6 +68,18 @@ def lexical_candidates(spark, folder):
     return Z.lexical_candidates(Z.asked(_questions(spark, folder)), docs, R.term_frequencies(docs, "doc_id", "norm")).select("query_id", "doc_id", "score")
 
 
+def full_text_fallback(spark, folder):
+    documents = texts(spark, folder, "loaded_legal_json", "record_id", "long_text").select(F.col("record_id").alias("doc_id"), F.col("long_text").alias("text"))
+    return Z.full_text_fallback(_questions(spark, folder), documents).select("query_id", "doc_id", "score")
+
+
+def result_sources(spark, folder):
+    """The sources of each question's ten best chunks by BM25: reference, page, and whether the registry knows them."""
+    found = R.bm25(_questions(spark, folder), _chunks(spark, folder), 10)
+    rows = table(spark, folder, "chunks").select(F.col("row_id").alias("doc_id"), "chunk_id", "document_title", "source_file", "page_number")
+    return Z.sources(found, rows, table(spark, folder, "citation_registry").select("chunk_id", "entry_id", "legal_reference"))
+
+
 def best_document_per_question(spark, folder):
     """The document of each question's best lexical candidate, the first by name of equals, with how many of its chunks are candidates."""
     owners = table(spark, folder, "chunks").where("document_id IS NOT NULL").select(F.col("row_id").alias("doc_id"), "document_id")
@@ -142,7 +154,7 @@ def extractive_summary_all(spark, folder):
     return _summaries(spark, folder, table(spark, folder, "search_records"))
 
 
-QUERIES = {f.__name__: f for f in (bm25_topk, hybrid_rerank, grounded_answers, metadata_candidates, lexical_candidates, best_document_per_question, lexical_relevance, vector_topk_l2, vector_topk_cosine, exact_law_lookup, supporting_sources, answer_number_validation, extractive_summary, extractive_summary_all)}
+QUERIES = {f.__name__: f for f in (bm25_topk, hybrid_rerank, grounded_answers, metadata_candidates, lexical_candidates, best_document_per_question, full_text_fallback, result_sources, lexical_relevance, vector_topk_l2, vector_topk_cosine, exact_law_lookup, supporting_sources, answer_number_validation, extractive_summary, extractive_summary_all)}
 
 _Q = f"q AS (SELECT search_id AS query_id, unnest({A.search_tokens_sql('title')}) AS term FROM search_records WHERE search_id % 50 = 0)"
 _CITED = "c AS (SELECT chunk_id, arg_max(text, row_id) AS text FROM chunks WHERE text IS NOT NULL AND chunk_id IS NOT NULL GROUP BY chunk_id), j AS (SELECT entry_id, legal_reference, text FROM citation_registry JOIN c USING (chunk_id) WHERE legal_reference IS NOT NULL)"
@@ -177,5 +189,10 @@ SQL = {
     f"k AS (SELECT search_id, trim(line) AS line, no, round(len(list_intersect(q, list_distinct({A.search_tokens_sql('line')})))::DOUBLE / len(q), 6) AS score FROM l WHERE length(trim(line)) >= 12), b AS (SELECT search_id, line, max(score) AS score, min(no) AS no FROM k WHERE score > 0 GROUP BY 1, 2) "
     "SELECT search_id, line, score FROM (SELECT *, row_number() OVER (PARTITION BY search_id ORDER BY score DESC, no) AS n FROM b) WHERE n <= 3",
 }
+SQL["full_text_fallback"] = Z.fallback_sql("search_id % 50 = 0")
+SQL["result_sources"] = (
+    f"WITH b AS ({SQL['bm25_topk']}), t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS place FROM b), r AS (SELECT chunk_id, arg_max(legal_reference, entry_id) FILTER (WHERE legal_reference IS NOT NULL) AS any_reference, max(entry_id) AS entry_id FROM citation_registry WHERE chunk_id IS NOT NULL GROUP BY 1), "
+    "l AS (SELECT r.chunk_id, c.legal_reference FROM r JOIN citation_registry c USING (entry_id)) SELECT t.query_id, t.place, k.chunk_id, coalesce(nullif(trim(l.legal_reference), ''), nullif(trim(k.document_title), ''), nullif(trim(k.source_file), ''), '') AS label, k.page_number, l.chunk_id IS NOT NULL AS registered FROM t JOIN chunks k ON k.row_id = t.doc_id LEFT JOIN l ON l.chunk_id = k.chunk_id"
+)
 # a title without tokens shares none
 SQL["extractive_summary_all"] = SQL["extractive_summary"].replace("WHERE search_id % 50 = 0", "").replace("length(trim(line)) >= 12", "length(trim(line)) >= 12 AND len(q) > 0")

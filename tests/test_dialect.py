@@ -172,3 +172,30 @@ def test_records(spark):
         assert json.loads(both(spark, lambda q, x: q.payload(x), payload)) == {"document": {"type": "x"}}
     for payload in (None, "", "[1]", "{", '"text"', wrapped[:-1]):
         assert both(spark, lambda q, x: q.payload(x), payload) is None
+
+
+def test_layouts(spark):
+    shown = both(spark, lambda q, a, s: N.concise(q, a, s), "الجواب\nنص", ["أ", "ب"])
+    assert shown == "Analysis / Relevant Legal Sources\n\nأ\nب\n\nAnswer\n\nنص"
+    assert "لا توجد مصادر مطابقة" in both(spark, lambda q, a, s: N.concise(q, a, s), "نص", [])
+    assert both(spark, lambda q, a, t: N.appended(q, a, t), "جملة. أخرى", ["س"]) == f"جملة. أخرى\n\n{N.SUMMARY_HEADING}\nجملة.\n\n{N.TOPICS_HEADING}\n- س"
+    assert both(spark, lambda q, a, t: N.appended(q, a, t), "", ["س"]) == ""
+    assert both(spark, N.indexes, "3, 4,4") == [3, 4]
+    assert both(spark, lambda q, f, t: N.match_values(q, [f], [t]), "dir/a.b.docx", "عنوان") == ["dir/a.b.docx", "a.b", "عنوان"]
+
+
+@pytest.mark.parametrize("payload", [{"metadata": {"document_type": "unknown"}}, {"legal_content": {"articles": []}, "cleaned_text": "x"}, {"legal_structure": {"sections": [{"name": "a"}]}, "title": "t", "original_text": "o"}])
+def test_profiles(spark, payload):
+    rows = [(1, "f", json.dumps(payload), "x")]
+    spark.createDataFrame(rows, "record_id long, source_file string, payload string, long_text string").createOrReplaceTempView(SPARK.table("loaded_legal_json"))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE loaded_legal_json (record_id BIGINT, source_file VARCHAR, payload VARCHAR, long_text VARCHAR)")
+    con.executemany("INSERT INTO loaded_legal_json VALUES (?, ?, ?, ?)", rows)
+    got = spark.sql(R.profile_errors(SPARK)).first()
+    assert tuple(got) == con.execute(R.profile_errors(DUCK)).fetchone()
+    assert ("document_type could not be detected" in got.government) == ("metadata" in payload) and ("legal_structure sections are missing" in got.unified) == ("legal_structure" not in payload)
+
+
+def test_previews(spark):
+    r = facts(spark, R.previews, "1. a < b\n3. c\n2. d")
+    assert (r.n_numbered, r.rising) == (3, False)

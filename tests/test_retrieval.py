@@ -94,3 +94,17 @@ def test_upsert_and_last(spark):
     assert sorted(map(tuple, G.upsert(now, new, ["k"]).collect())) == [("a", 1), ("b", 3), ("c", 4)]
     assert sorted(map(tuple, G.last_per_key(now.union(new), ["k"], [F.col("v")]).collect())) == [("a", 1), ("b", 3), ("c", 4)]
     assert [r.unique_id for r in G.unique_ids(spark.createDataFrame([("a", 1), ("a", 2)], "k string, o int"), "k", "o").orderBy("o").collect()] == ["a", "a-dup-1"]
+
+
+def test_fallback_reads_whole_documents(spark):
+    docs = spark.createDataFrame([(1, "تمديد العقد رقم 27"), (2, "تمديد المهلة"), (3, None)], "doc_id long, text string")
+    q = spark.createDataFrame([(7, "تمديد العقد 27 سنتين"), (8, None), (9, "لا شيء هنا")], "query_id long, text string")
+    got = {(r.query_id, r.doc_id): r.score for r in Z.full_text_fallback(q, docs).collect()}
+    assert got == {(7, 1): round(2 / 3, 6), (7, 2): round(1 / 3, 6)}
+
+
+def test_sources_are_named_by_the_registry_first(spark):
+    found = spark.createDataFrame([(1, 10, 1), (1, 11, 2)], "query_id long, doc_id long, place int")
+    chunks = spark.createDataFrame([(10, "a", "title", "f", 3), (11, None, " ", "f", None)], "doc_id long, chunk_id string, document_title string, source_file string, page_number int")
+    entries = spark.createDataFrame([("a", 1, "old"), ("a", 2, "new"), ("z", 3, "x")], "chunk_id string, entry_id long, legal_reference string")
+    assert sorted((r.place, r.label, r.registered) for r in Z.sources(found, chunks, entries).collect()) == [(1, "new", True), (2, "f", False)]
