@@ -29,7 +29,7 @@ BITS, FACTORS, EPOCHS, REFINE, BATCH, RATE, DECAY, SCALE, MAX_REVIEWED = 16, 8,
 #: Words scored at once, and different words a worker remembers.
 RUN, KNOWN = 50_000, 500_000
 #: Words the machine knows nothing of leave a sentence near the bias, at some hundredths; evidence lifts it far beyond.
-THRESHOLD = 0.2
+THRESHOLD = 0.06
 
 _FOLD = str.maketrans("أإآٱىةیکہے", "اااايهيكهي", "ـ")
 # Letters written as digits or signs inside Latin words.
@@ -228,7 +228,7 @@ class FactorizationMachine:
         self.b = -3.0  # language is clean until shown otherwise
         self.w = np.zeros(1 << BITS, np.float32)
         self.v = rng.normal(0, 0.05, (1 << BITS, FACTORS)).astype(np.float32)
-        self.gw, self.gv, self.gb = np.full_like(self.w, 1e-6), np.full_like(self.v, 1e-6), 1e-6
+        self.seen = np.zeros(1 << BITS, bool)
 
     def _sums(self, at: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         v = self.v[at]
@@ -241,6 +241,8 @@ class FactorizationMachine:
 
     def fit(self, spans: list[list[int]], labels: np.ndarray, epochs: int, seed: int = 7) -> None:
         rng = np.random.default_rng(seed)
+        # each fit steps afresh, so what refines the machine can still move it
+        gw, gv, gb = np.full_like(self.w, 1e-6), np.full_like(self.v, 1e-6), 1e-6
         for _ in range(epochs):
             order = rng.permutation(len(spans))
             for k in range(0, len(order), BATCH):
@@ -254,16 +256,17 @@ class FactorizationMachine:
                 dv = np.zeros((len(terms), FACTORS))
                 np.add.at(dv, back, g[owner, None] * (total[owner] - self.v[at]) / SCALE**2)
                 dv += DECAY * self.v[terms]
-                self.gb += float(g.sum()) ** 2
-                self.b -= RATE * float(g.sum()) / np.sqrt(self.gb)
-                self.gw[terms] += dw * dw
-                self.gv[terms] += dv * dv
-                self.w[terms] -= RATE * dw / np.sqrt(self.gw[terms])
-                self.v[terms] -= RATE * dv / np.sqrt(self.gv[terms])
+                gb += float(g.sum()) ** 2
+                self.b -= RATE * float(g.sum()) / np.sqrt(gb)
+                gw[terms] += dw * dw
+                gv[terms] += dv * dv
+                self.w[terms] -= RATE * dw / np.sqrt(gw[terms])
+                self.v[terms] -= RATE * dv / np.sqrt(gv[terms])
+                self.seen[terms] = True
 
     def forget(self) -> None:
         """Terms that no training span held add nothing, rather than their random start."""
-        self.v[(self.gv <= np.float32(1e-6)).all(1)] = 0
+        self.v[~self.seen] = 0
 
 
 def laid_out(spans: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
