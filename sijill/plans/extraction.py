@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from sijill.functions import arabic as A
 from sijill.functions import extract as X
-from sijill.session import table
+from sijill.session import spread, table
 
 
 def _join(col):
@@ -20,7 +20,7 @@ def extract_dates(spark, folder):
 
 
 def extract_amounts(spark, folder):
-    return table(spark, folder, "chunks").select("row_id", _join(X.amounts(F.col("text"))).alias("amounts"))
+    return spread(table(spark, folder, "chunks")).select("row_id", _join(X.amounts(F.col("text"))).alias("amounts"))
 
 
 def extract_numbers(spark, folder):
@@ -29,7 +29,7 @@ def extract_numbers(spark, folder):
 
 
 def extract_entities(spark, folder):
-    return table(spark, folder, "chunks").select("row_id", _join(X.entities(F.col("text"))).alias("entities"))
+    return spread(table(spark, folder, "chunks")).select("row_id", _join(X.entities(F.col("text"))).alias("entities"))
 
 
 def title_number_year(spark, folder):
@@ -42,16 +42,16 @@ def typed_references(spark, folder):
 
 
 def entity_categories(spark, folder):
-    return table(spark, folder, "chunks").select("row_id", X.entity_categories(F.col("text")).alias("e")).select("row_id", *[_join(F.col(f"e.{k}")).alias(k) for k in X.ENTITIES])
+    return spread(table(spark, folder, "chunks")).select("row_id", X.entity_categories(F.col("text")).alias("e")).select("row_id", *[_join(F.col(f"e.{k}")).alias(k) for k in X.ENTITIES])
 
 
 def paragraph_types(spark, folder):
-    lines = table(spark, folder, "chunks").select("row_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "paragraph"))
+    lines = spread(table(spark, folder, "chunks")).select("row_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "paragraph"))
     return lines.groupBy(X.paragraph_type(F.col("paragraph")).alias("paragraph_type")).agg(F.count(F.lit(1)).alias("n_paragraphs"))
 
 
 def document_types(spark, folder):
-    folded = table(spark, folder, "documents").select("doc_id", X.fold_letters(F.col("text")).alias("folded"))
+    folded = spread(table(spark, folder, "documents")).select("doc_id", X.fold_letters(F.col("text")).alias("folded"))
     return folded.select("doc_id", X.document_type(F.col("folded")).alias("d")).select("doc_id", "d.type", "d.confidence")
 
 
@@ -88,7 +88,7 @@ def paragraph_coverage(spark, folder):
     records = _records(spark, folder).where("document_id IS NOT NULL").groupBy("document_id").agg(F.max_by("long_text", "record_id").alias("long_text"))
     lines = F.filter(F.split("text", "\r?\n"), lambda v: F.trim(v) != "")
     return (
-        table(spark, folder, "chunks").where("text IS NOT NULL").join(records, "document_id", "left")
+        spread(table(spark, folder, "chunks")).where("text IS NOT NULL").join(records, "document_id", "left")
         .select("row_id", F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.size(F.filter(lines, lambda v: F.contains(F.col("long_text"), v))), F.lit(0)).cast("long").alias("n_covered"))
         .select("row_id", "n_lines", F.when(F.col("n_covered") >= 0, F.col("n_covered")).otherwise(F.lit(0)).alias("n_covered"))
     )

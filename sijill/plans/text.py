@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from sijill.functions import arabic as A
 from sijill.operators.retrieval import term_frequencies
-from sijill.session import table
+from sijill.session import spread, table
 
 
 def normalize_digits(spark, folder):
@@ -12,16 +12,16 @@ def normalize_digits(spark, folder):
 
 
 def normalize_search(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", A.normalize_search(F.col("text")).alias("norm"))
+    return spread(table(spark, folder, "documents")).select("doc_id", A.normalize_search(F.col("text")).alias("norm"))
 
 
 def presentation_forms(spark, folder):
-    return table(spark, folder, "chunks").select("row_id", A.plain_forms(F.col("text")).alias("clean"))
+    return spread(table(spark, folder, "chunks")).select("row_id", A.plain_forms(F.col("text")).alias("clean"))
 
 
 def token_counts(spark, folder):
     """Terms of all documents: how often, and in how many."""
-    per_doc = term_frequencies(table(spark, folder, "documents"), "doc_id", "text")
+    per_doc = term_frequencies(spread(table(spark, folder, "documents")), "doc_id", "text")
     return per_doc.groupBy("term").agg(F.sum("tf").alias("n_tokens"), F.count(F.lit(1)).alias("n_docs"))
 
 
@@ -38,7 +38,7 @@ def document_match_tokens(spark, folder):
 
 
 def squeeze_whitespace(spark, folder):
-    return table(spark, folder, "chunks").select("row_id", A.squeeze(F.col("text")).alias("text"))
+    return spread(table(spark, folder, "chunks")).select("row_id", A.squeeze(F.col("text")).alias("text"))
 
 
 QUERIES = {
