@@ -37,3 +37,14 @@ def test_words_and_hashes_are_those_of_the_other_side(spark, medium):
     words = [*[r[0] for r in got.select(F.explode("t")).distinct().limit(500).collect()], "", "ا" * 50]
     for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w").alias("h")).collect():
         assert T.xxhash64(r.w.encode()) == r.h
+
+
+def test_bm25_without_a_row_for_each_pair(spark, monkeypatch):
+    every = sorted(map(tuple, R.bm25(asking(spark), texts(spark), None).collect()))
+    assert len(every) > 60
+    monkeypatch.setattr(R, "scored_postings", pairs)
+    monkeypatch.setattr(T, "ROWS", 6)
+    monkeypatch.setattr(T, "ASKED", 1)
+    for k in (1, 10):
+        assert sorted(map(tuple, R.bm25(asking(spark), texts(spark), k).collect())) == [r for r in every if r[3] <= k]
+    assert R.bm25(asking(spark).limit(0), texts(spark)).count() == 0 and R.bm25(asking(spark), texts(spark).limit(0)).count() == 0
