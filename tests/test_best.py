@@ -48,3 +48,11 @@ def test_bm25_without_a_row_for_each_pair(spark, monkeypatch):
     for k in (1, 10):
         assert sorted(map(tuple, R.bm25(asking(spark), texts(spark), k).collect())) == [r for r in every if r[3] <= k]
     assert R.bm25(asking(spark).limit(0), texts(spark)).count() == 0 and R.bm25(asking(spark), texts(spark).limit(0)).count() == 0
+
+
+def test_near_copies_are_folded_without_lambdas(spark):
+    rows = [(7, i, 1 - i / 1000, [f"w{j}" for j in range(60)] + ["x"] * (i % 2)) for i in range(200)] + [(7, 500, 0.1, ["z"]), (7, 501, 0.1, []), (7, 502, 0.1, [])]
+    ranked = spark.createDataFrame(rows, "query_id long, doc_id long, score double, tokens array<string>")
+    found = R.without_near_copies(ranked, 5)
+    assert [(r.doc_id, r.place) for r in found.orderBy("place").collect()] == [(0, 1), (500, 2), (501, 3), (502, 4), (1, 5)]
+    assert "lambdafunction" not in found._jdf.queryExecution().toString()
