@@ -56,3 +56,15 @@ def test_near_copies_are_folded_without_lambdas(spark):
     found = R.without_near_copies(ranked, 5)
     assert [(r.doc_id, r.place) for r in found.orderBy("place").collect()] == [(0, 1), (500, 2), (501, 3), (502, 4), (1, 5)]
     assert "lambdafunction" not in found._jdf.queryExecution().toString()
+
+
+def test_vectors_by_small_batches_are_the_same(spark, monkeypatch):
+    df = spark.range(500).selectExpr("id", "transform(sequence(1, 8), i -> cast(pmod(xxhash64(id % 90, i), 5) - 2 as float)) AS e")
+    asked = df.where("id % 9 = 0")
+    for metric in ("l2", "cosine"):
+        want = sorted(map(tuple, R.vector_top_k(asked, df, "id", "e", metric, 500).where("place <= 4").collect()))
+        monkeypatch.setattr(R, "VECTORS", 16)
+        monkeypatch.setattr(R, "CELLS", 64)
+        found = R.vector_top_k(asked, df.coalesce(1), "id", "e", metric, 4)
+        assert sorted(map(tuple, found.collect())) == want
+        monkeypatch.undo()
