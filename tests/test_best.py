@@ -68,3 +68,10 @@ def test_vectors_by_small_batches_are_the_same(spark, monkeypatch):
         found = R.vector_top_k(asked, df.coalesce(1), "id", "e", metric, 4)
         assert sorted(map(tuple, found.collect())) == want
         monkeypatch.undo()
+
+
+def test_sources_of_results_without_a_row_for_each_pair(spark, medium, monkeypatch):
+    from sijill.plans import retrieval as P
+
+    monkeypatch.setattr(R, "scored_postings", pairs)
+    assert P.result_sources(spark, medium).count() == 70
