@@ -75,3 +75,24 @@ def test_sources_of_results_without_a_row_for_each_pair(spark, medium, monkeypat
 
     monkeypatch.setattr(R, "scored_postings", pairs)
     assert P.result_sources(spark, medium).count() == 70
+
+
+def test_sources_of_odd_rows_worked_out_once(spark, tmp_path):
+    import __spark_entry__ as entry
+    from tests.compare import assert_same, duck
+
+    text, titles = "قرار النفط رقم 3 لسنة 2001", ["عنوان", " عنوان ", "\u00a0عنوان\u2003", "\u00a0", "\t", "\u00a0\n", "", None, "\u3000x\u3000", "\u200bx"]
+    tables = {
+        "chunks": ("row_id bigint, text varchar, chunk_id varchar, document_title varchar, source_file varchar, page_number int", [(i, text + " والماء" * (i % 2), None if i == 3 else f"c{i // 2}", titles[i % 10], "\u00a0f " if i % 3 else None, i if i % 4 else None) for i in range(1, 25)]),
+        "search_records": ("search_id bigint, title varchar", [(0, text), (50, None), (100, ""), (150, "الماء"), (200, "لا شيء"), (7, text)]),
+        "citation_registry": ("chunk_id varchar, entry_id bigint, legal_reference varchar", [("c1", 1, "مرجع"), ("c1", 2, None), ("c2", 3, None), ("c2", 4, " مرجع 2\u00a0"), ("c4", 6, " "), ("c5", 7, "\u00a0"), (None, 8, "x"), ("c6", 9, "\u00a0ref ")]),
+    }
+    con = duck(str(tmp_path))
+    for name, (columns, rows) in tables.items():
+        con.execute(f"CREATE TABLE {name} ({columns})")
+        con.executemany(f"INSERT INTO {name} VALUES ({', '.join('?' * len(rows[0]))})", rows)
+        con.execute(f"COPY {name} TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+    found = entry.queries()["result_sources"](spark, str(tmp_path))
+    assert_same(found, con, entry.oracle_sql()["result_sources"])
+    # no part of the search stands in what is left to run
+    assert "Window" not in found._jdf.queryExecution().toString()
