@@ -96,3 +96,18 @@ def test_sources_of_odd_rows_worked_out_once(spark, tmp_path):
     assert_same(found, con, entry.oracle_sql()["result_sources"])
     # no part of the search stands in what is left to run
     assert "Window" not in found._jdf.queryExecution().toString()
+
+
+def test_every_record_asks_for_its_best_document(spark, tmp_path):
+    import __spark_entry__ as entry
+    from tests.compare import assert_same, duck
+
+    con = duck(str(tmp_path))
+    con.execute(f"COPY (SELECT * FROM (VALUES (1::BIGINT, 'قرار النفط رقم 3 لسنة 2001'), (7, 'السفر والماء'), (50, 'قرار النفط رقم 3 لسنة 2001'), (51, NULL), (99, 'لا شيء'), (101, 'ما الموافقه على عقد الماء')) t(search_id, title)) TO '{tmp_path}/search_records.parquet' (FORMAT parquet)")
+    con.execute(f"COPY (SELECT i AS row_id, CASE WHEN i % 9 > 0 THEN 'قرار النفط رقم ' || i % 7 || ' لسنة ' || 2000 + i % 3 || ' بشأن الماء' || CASE i % 2 WHEN 1 THEN ' والسفر' ELSE '' END END AS text, CASE WHEN i % 5 > 0 THEN 'd' || i % 11 END AS document_id FROM range(120) t(i)) TO '{tmp_path}/chunks.parquet' (FORMAT parquet)")
+    con = duck(str(tmp_path))
+    sql = entry.oracle_sql()["best_document_per_question"]
+    found = entry.queries()["best_document_per_question"](spark, str(tmp_path))
+    assert {r.query_id for r in found.collect()} >= {1, 7, 50, 101}
+    assert_same(found, con, sql)
+    assert "% 50" not in sql
