@@ -111,3 +111,17 @@ def test_every_record_asks_for_its_best_document(spark, tmp_path):
     assert {r.query_id for r in found.collect()} >= {1, 7, 50, 101}
     assert_same(found, con, sql)
     assert "% 50" not in sql
+
+
+def test_sums_in_common_give_what_each_question_gives_alone(spark, monkeypatch):
+    texts = spark.createDataFrame([(i, f"قرار {'النفط' if i % 3 else 'الماء'} رقم {i % 40} لسنة {2000 + i % 5} بشأن عقد الماء {'والسفر' * (i % 2)}") for i in range(6000)], "doc_id long, text string")
+    asking = spark.createDataFrame([(i, f"قرار {'النفط' if i % 2 else 'الماء'} رقم {i} لسنة {2000 + i % 3} {'ما الموافقه على عقد' if i % 4 == 0 else 'بشأن السفر'}") for i in range(24)] + [(90, "قرار النفط رقم 1 لسنة 2001 بشأن السفر")], "query_id long, text string")
+    own = Z.asked(asking)
+    docs = Z.searched(texts, own)
+    together = sorted(map(tuple, Z.lexical_candidates(own, docs, 4).collect()))
+    best = sorted(map(tuple, R.bm25(asking, texts, 4).collect()))
+    assert len(together) == len(best) == 100
+    monkeypatch.setattr(T, "ASKED", 1)
+    assert sorted(map(tuple, Z.lexical_candidates(own.where("query_id % 7 = 6"), docs, 4).collect())) == [r for r in together if r[0] % 7 == 6]
+    monkeypatch.undo()
+    assert best == sorted(map(tuple, R.bm25(asking, texts, None).where("place <= 4").collect()))
