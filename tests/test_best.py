@@ -125,3 +125,18 @@ def test_sums_in_common_give_what_each_question_gives_alone(spark, monkeypatch):
     assert sorted(map(tuple, Z.lexical_candidates(own.where("query_id % 7 = 6"), docs, 4).collect())) == [r for r in together if r[0] % 7 == 6]
     monkeypatch.undo()
     assert best == sorted(map(tuple, R.bm25(asking, texts, None).where("place <= 4").collect()))
+
+
+def test_every_record_is_searched_for_wave_after_wave(spark, small, monkeypatch):
+    from sijill import session
+    from sijill.plans import retrieval as P
+
+    every = {r[0] for r in spark.read.parquet(f"{small}/search_records.parquet").select("search_id").collect()}
+    whole = sorted(map(tuple, P.hybrid_rerank(spark, small).collect()))
+    assert {r[0] for r in whole} == every
+    monkeypatch.setattr(Z, "WAVE", 20)
+    written = []
+    monkeypatch.setattr(session, "scratch_path", lambda s, tag, path=session.scratch_path: written.append(path(s, tag)) or written[-1])
+    assert sorted(map(tuple, P.hybrid_rerank(spark, small).collect())) == whole
+    left = [p.rpartition("/")[2].partition("-")[0] for p in written if session.exists(spark, p)]
+    assert sorted(left) == ["encoded", "encoded", "found", "found", "questions"]
