@@ -140,3 +140,13 @@ def test_every_record_is_searched_for_wave_after_wave(spark, small, monkeypatch)
     assert sorted(map(tuple, P.hybrid_rerank(spark, small).collect())) == whole
     left = [p.rpartition("/")[2].partition("-")[0] for p in written if session.exists(spark, p)]
     assert sorted(left) == ["encoded", "encoded", "found", "found", "questions"]
+
+
+def test_every_record_is_answered(spark, small, monkeypatch):
+    from sijill.plans import retrieval as P
+
+    every = sorted(r[0] for r in spark.read.parquet(f"{small}/search_records.parquet").select("search_id").collect())
+    rows = sorted(map(tuple, P.grounded_answers(spark, small).collect()))
+    assert [r[0] for r in rows] == every
+    monkeypatch.setattr(P, "ANSWERED", 20)
+    assert sorted(map(tuple, P.grounded_answers(spark, small).collect())) == rows
